@@ -181,15 +181,14 @@ def _pivots(words: list[str], most: int) -> list[int]:
 
 
 def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float = 1.0) -> np.ndarray:
-    """Weights and, last, the bias that minimise ridge |w|^2 / 2 + sum of cost max(0, 1 - y f)^2, by Newton's method."""
-    x = np.column_stack([x, np.ones(len(x))])
-    keep = np.full(x.shape[1], ridge)
-    keep[-1] = 1e-6
+    """Weights w that minimise ridge |w|^2 / 2 + sum of cost max(0, 1 - y f)^2 with f = x w - 1, by Newton's method.
+
+    The bias is fixed at -1, so that a word that has nothing in common with the landmarks is clean."""
     w = np.zeros(x.shape[1])
     for _ in range(30):
-        active = y * (x @ w) < 1
-        xa = x[active] * cost[active, None]
-        fresh = np.linalg.solve(2 * xa.T @ x[active] + np.diag(keep), 2 * xa.T @ y[active])
+        active = y * (x @ w - 1) < 1
+        weighted = 2 * x[active].T * cost[active]
+        fresh = np.linalg.solve(weighted @ x[active] + ridge * np.eye(len(w)), weighted @ (y[active] + 1))
         if np.abs(fresh - w).max() < 1e-6:
             break
         w = fresh
@@ -197,20 +196,21 @@ def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float = 1.0) ->
 
 
 def _different(bags: list[set[str]]) -> list[set[str]]:
-    """Without bags that are near copies of an earlier one: two of four smallest word hashes in common."""
+    """Without bags that are near copies of an earlier one: four smallest word hashes in common in one of four bands."""
     from zlib import crc32
 
-    seen: list[set[int]] = [set() for _ in range(4)]
+    seen: set[tuple] = set()
     out = []
+    factors = np.random.default_rng(3).integers(1 << 30, 1 << 32, 16, dtype=np.uint64) | np.uint64(1)
     for bag in bags:
         if not bag:
             continue
         raw = np.array([crc32(w.encode()) for w in bag], np.uint64)
-        low = [int(((raw * np.uint64(m)) & np.uint64(0xFFFFFFFF)).min()) for m in (2654435761, 2246822519, 3266489917, 668265263)]
-        if sum(v in s for v, s in zip(low, seen, strict=True)) < 2:
+        low = ((raw[:, None] * factors) & np.uint64(0xFFFFFFFF)).min(axis=0).tolist()
+        bands = {(i, *low[i : i + 4]) for i in range(0, 16, 4)}
+        if not bands & seen:
             out.append(bag)
-        for v, s in zip(low, seen, strict=True):
-            s.add(v)
+        seen |= bands
     return out
 
 
@@ -269,18 +269,17 @@ def train(toxic: list[str], clean: list[str], seed: int = 11) -> Model:
     white = vectors[:, large] / values[large] ** 0.5
 
     def fit(positive: list[str]) -> np.ndarray:
-        """Weights of the landmarks' kernel values and the bias."""
+        """Weights of the landmarks' kernel values."""
         forms = sorted({v for w in positive for v in _disguised(w)} - set(positive))
         words = [*positive, *forms, *negative]
         y = np.array([1.0] * (len(positive) + len(forms)) + [-1.0] * len(negative))
         cost = np.repeat([len(negative) / len(positive), DISGUISED * len(negative) / (len(forms) + 1), 1.0], [len(positive), len(forms), len(negative)]) * COST
-        w = _svm(kernel.of(words) @ white, y, cost)
-        return np.append(white @ w[:-1], w[-1])
+        return white @ _svm(kernel.of(words) @ white, y, cost)
 
     def collapsed(w: np.ndarray) -> Model:
         weight = np.zeros(1 << 18, np.float32)
-        weight[kernel.codes] = kernel.dense @ w[:-1]
-        return Model(weight, float(w[-1]), 1.0, 0.0)
+        weight[kernel.codes] = kernel.dense @ w
+        return Model(weight, -1.0, 1.0, 0.0)
 
     known = set(others)
     every = sorted({x for b in bad for x in b if x not in known})
