@@ -194,6 +194,30 @@ def jaccard_components(docs: DataFrame, k: int = 5, p: int = 4, q: int = 5, id:
 
     A row's id may be null or repeated: such rows are linked by their texts like all others, the component being the
     smallest id that is not null. Other columns of docs are not read."""
+    marked = _labelled(docs, k, p, q, id, text)
+    lowest = marked.where("n > 0").groupBy("label").agg(F.min("id").alias("low"))
+    return marked.join(lowest, "label", "left").select("id", "n", F.when(F.col("n") > 0, F.col("low")).otherwise(F.col("id")).alias("component"))
+
+
+def without_near_copies(docs: DataFrame, k: int = 5, p: int = 4, q: int = 5, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs with one row of each component: that of the smallest id (null is smallest), then the smallest text hash.
+
+    Rows without shingles stay. Whole repeats of a row count as one row."""
+    marked = _labelled(docs, k, p, q, id, text).where("n > 0")
+    kept = written(marked.groupBy("label", "id", "hash").agg(F.count("*").alias("times")).groupBy("label").agg(F.min(F.struct("id", "hash", "times")).alias("row")).select("row.*"), "kept")
+    rows, most = kept.agg(F.count("*"), F.max("times")).first()
+    words = F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"))
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(id).alias("id_"), F.xxhash64(text).alias("hash_"), (words == 0).alias("blank"))
+    same = F.col("id_").eqNullSafe(F.col("id")) & (F.col("hash_") == F.col("hash"))
+    found = whole.where("not blank").join(F.broadcast(kept) if rows <= BROADCAST_IDS else kept, same)
+    once = found.where("times = 1")
+    if (most or 0) > 1:
+        once = once.unionByName(found.where("times > 1").dropDuplicates(["id_", "hash_"]))
+    return once.select("row.*").unionByName(whole.where("blank").select("row.*"))
+
+
+def _labelled(docs: DataFrame, k: int, p: int, q: int, id: str, text: str) -> DataFrame:
+    """id, hash, n, label (of the component) of every row."""
     rows = written(profiles(docs, id, text, k, p, q), "profiles")
     some = rows.where("n > 0")
     nodes = written(some.groupBy("node").agg(F.min(F.struct("id", "hash")).alias("row"), F.first("n").alias("n")), "nodes")
@@ -226,9 +250,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, p: int = 4, q: int = 5, id:
         if not found.isEmpty():
             labels = components(links.union(found))
 
-    marked = rows.select("id", "n", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    lowest = marked.where("n > 0").groupBy("label").agg(F.min("id").alias("low"))
-    return marked.join(lowest, "label", "left").select("id", "n", F.when(F.col("n") > 0, F.col("low")).otherwise(F.col("id")).alias("component"))
+    return rows.select("id", "hash", "n", "node").join(labels, "node", "left").select("id", "hash", "n", F.coalesce("label", "node").alias("label"))
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

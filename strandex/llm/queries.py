@@ -5,6 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 _NAMES = {
+    "op4_mixing": "mixing",
     "op7_toxicity": "toxicity",
     "op2_ngram_join": "ngram_join",
     "op9_packing": "packing",
