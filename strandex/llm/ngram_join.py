@@ -13,9 +13,12 @@ d = (1 - t) / (1 + t) (|a| + |b|) differ, and their sizes differ by a factor 1 /
 * The boundary is the largest size up to which listing subsets costs no more than ranges and their chance meetings.
 
 Copies share a digest of the whole set and are one node from the start. On every list the smallest node is the
-centre; each other node is compared with it (a linear number of pairs), and links form components. What is left are
-nodes of different components on one list, of which some pair with the centre failed: these pairs alone, filtered by
-size, are compared as well, so that components are exact. Comparing reads the whole texts again.
+centre; each other node is compared with it (a linear number of pairs), and links form components. Where pairs of
+nodes of different components are left on lists, and more of them than a few for each node, further rounds name other
+centres: first nodes that are on most lists (edits take a copy off some of its original's), then others by chance.
+All pairs of different components that are left on a list then are compared as well, so that components are exact.
+Before texts are read again to compare a pair, its sizes and a folded form of its sets (a bound on how many shingles
+differ) must allow a link; for unrelated documents that share a passage they don't.
 
 Sets without shingles (null, empty or blank texts) are linked with nothing. Rows with repeated ids are kept each.
 Nodes are 64-bit digests of sets, as shingles are 64-bit hashes: distinct sets of a corpus of 10^9 documents meet
@@ -40,6 +43,10 @@ from .words import mix, shingles
 
 #: Ids that a node's text is fetched for by a broadcast table at most; above, by a shuffled join.
 BROADCAST_IDS = 2_000_000
+#: Bits of a set's folded form.
+BITS = 1024
+#: Further rounds of stars at most.
+STARS = 6
 #: Digests of sets whose keys a task has written already and need not write again, at most.
 REMEMBERED = 1 << 20
 
@@ -136,14 +143,27 @@ def keys(hashes: np.ndarray, plan: Plan) -> np.ndarray:
     return np.concatenate(out) if out else hashes[:0]
 
 
+def parity(hashes: np.ndarray) -> np.ndarray:
+    """BITS bits, each whether an odd number of the set's shingles fall on it. Two sets differ in as many shingles at
+    least as their bits do."""
+    odd = np.bincount((hashes % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def _may_link(p: int, q: int) -> F.Column:
+    """Whether sizes n_a, n_b and bits bits_a, bits_b allow a link."""
+    differing = sum((F.bit_count(F.col("bits_a")[i].bitwiseXOR(F.col("bits_b")[i])) for i in range(BITS // 64)), F.lit(0))
+    return (q * F.least("n_a", "n_b") >= p * F.greatest("n_a", "n_b")) & ((q + p) * differing <= (q - p) * (F.col("n_a") + F.col("n_b")))
+
+
 def profiles(docs: DataFrame, id: str, text: str, k: int, p: int, q: int) -> DataFrame:
-    """id, hash (of the text), n (shingles), node, keys of every row; keys only for the first row of a node that a task meets."""
+    """id, hash (of the text), n (shingles), node, bits, keys of every row; keys only for the first row of a node that a task meets."""
 
     def of(batches):
         own, seen = plan(p, q), set()
         for batch in batches:
             body, offsets = utf8(batch.column(1))
-            sizes, nodes, listed, ends = [], [], [], [0]
+            sizes, nodes, folded, listed, ends = [], [], [], [], [0]
             for h in shingles(body, offsets, k):
                 node = int(mix(mix(h).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(h)))[0])
                 fresh = node not in seen and len(h) > 0
@@ -153,13 +173,14 @@ def profiles(docs: DataFrame, id: str, text: str, k: int, p: int, q: int) -> Dat
                     seen.add(node)
                     listed.append(keys(h, own))
                 sizes.append(len(h))
+                folded.append(parity(h))
                 nodes.append(node)
                 ends.append(ends[-1] + (len(listed[-1]) if fresh else 0))
             flat = np.concatenate(listed).view(np.int64) if listed else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], ["id", "hash", "n", "node", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate([np.zeros(0, np.int64), *folded])), BITS // 64).cast(pa.list_(pa.int64())), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], ["id", "hash", "n", "node", "bits", "keys"])
 
     kind = docs.schema[id].dataType.simpleString()
-    return docs.select(F.col(id).alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("hash")).mapInArrow(of, f"id {kind}, hash long, n long, node long, keys array<long>")
+    return docs.select(F.col(id).alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("hash")).mapInArrow(of, f"id {kind}, hash long, n long, node long, bits array<long>, keys array<long>")
 
 
 def _linked(pairs: DataFrame, texts: DataFrame, k: int, p: int, q: int) -> DataFrame:
@@ -199,6 +220,28 @@ def jaccard_components(docs: DataFrame, k: int = 5, p: int = 4, q: int = 5, id:
     return marked.join(lowest, "label", "left").select("id", "n", F.when(F.col("n") > 0, F.col("low")).otherwise(F.col("id")).alias("component"))
 
 
+def _compared(docs: DataFrame, id: str, text: str, candidates: DataFrame, nodes: DataFrame, k: int, p: int, q: int) -> tuple[DataFrame, DataFrame]:
+    """The different candidates (a, b with a < b) whose sizes and bits allow a link, and the linked ones among them."""
+    size_a, size_b = (nodes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}")) for c in "ab")
+    pairs = written(candidates.distinct().join(size_a, "a").join(size_b, "b").where(_may_link(p, q)).select("a", "b"), "pairs")
+    if pairs.isEmpty():
+        return pairs, pairs
+    return pairs, written(_linked(pairs, _texts(docs, id, text, pairs, nodes), k, p, q).where("linked").select("a", "b"), "found")
+
+
+def _named(lists: DataFrame, labels: DataFrame) -> DataFrame:
+    """lists (key, node) with each node's label."""
+    return written(lists.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label")), "named")
+
+
+def _open(named: DataFrame) -> DataFrame:
+    """key, pairs (of nodes of different components), many (as many as its nodes, or more) of lists that have such pairs."""
+    each = named.groupBy("key", "label").agg(F.count("*").alias("n"))
+    lists = each.groupBy("key").agg(F.sum("n").alias("nodes"), F.sum(F.col("n") * F.col("n")).alias("same"), F.count("*").alias("labels"))
+    counted = lists.where("labels > 1").select("key", ((F.col("nodes") * F.col("nodes") - F.col("same")) / 2).cast("long").alias("pairs"), (4 * F.col("nodes")).alias("many"))
+    return written(counted, "open")
+
+
 def without_near_copies(docs: DataFrame, k: int = 5, p: int = 4, q: int = 5, id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with one row of each component: that of the smallest id (null is smallest), then the smallest text hash.
 
@@ -220,36 +263,49 @@ def _labelled(docs: DataFrame, k: int, p: int, q: int, id: str, text: str) -> Da
     """id, hash, n, label (of the component) of every row."""
     rows = written(profiles(docs, id, text, k, p, q), "profiles")
     some = rows.where("n > 0")
-    nodes = written(some.groupBy("node").agg(F.min(F.struct("id", "hash")).alias("row"), F.first("n").alias("n")), "nodes")
+    nodes = written(some.groupBy("node").agg(F.min(F.struct("id", "hash")).alias("row"), F.first("n").alias("n"), F.first("bits").alias("bits")), "nodes")
     listed = some.where(F.size("keys") > 0).select("node", F.explode("keys").alias("key"))
     shared = listed.groupBy("key").agg(F.min("node").alias("centre"), F.max("node").alias("most")).where("centre <> most").select("key", "centre")
     members = written(listed.join(shared, "key").where("node <> centre").distinct(), "lists")
 
-    size_a, size_b = (nodes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}")) for c in "ab")
-    near = (q * F.least("n_a", "n_b") >= p * F.greatest("n_a", "n_b"))
-    pairs = members.select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct().join(size_a, "a").join(size_b, "b")
-    pairs = written(pairs.where(near).select("a", "b"), "pairs")
-    compared = written(_linked(pairs, _texts(docs, id, text, pairs, nodes), k, p, q), "compared")
-    links = compared.where("linked").select("a", "b")
+    centred = members.select(F.col("centre").alias("a"), F.col("node").alias("b"))
+    pairs, links = _compared(docs, id, text, centred, nodes, k, p, q)
     labels = components(links)
 
-    # lists on which some member isn't in the centre's component
-    named = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    centres = labels.select(F.col("node").alias("centre"), F.col("label").alias("top"))
-    named = named.join(centres, "centre", "left").withColumn("top", F.coalesce("top", "centre"))
-    apart = named.where("label <> top")
-    # two nodes other than the centre, of different components: one of them at least is not in the centre's
-    other = written(apart.groupBy("key").agg(F.count("*").alias("strangers")), "strangers")
-    left = apart.select("key", F.col("node").alias("a"), F.col("label").alias("label_a"))
-    right = named.join(other, "key").select("key", F.col("node").alias("b"), F.col("label").alias("label_b"))
-    more = left.join(right, "key").where("label_a <> label_b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = more.join(size_a, "a").join(size_b, "b").where(near).select("a", "b").join(pairs, ["a", "b"], "left_anti")
-    more = written(more, "pairs")
-    if not more.isEmpty():
-        found = written(_linked(more, _texts(docs, id, text, more, nodes), k, p, q), "compared").where("linked").select("a", "b")
-        if not found.isEmpty():
-            labels = components(links.union(found))
-
+    # lists on which some node isn't in the centre's component
+    named = _named(members.select("key", "node").union(members.select("key", "centre")).distinct(), labels)
+    open_ = _open(named)
+    for turn in range(STARS):
+        before, after = open_.agg(F.coalesce(F.sum("pairs"), F.lit(0)), F.coalesce(F.sum("many"), F.lit(0))).first()
+        if before <= after:
+            break
+        named = written(named.join(open_.select("key"), "key").select("key", "node", "label"), "lists")
+        # first the node that is on most of these lists: edits take a copy off some. Then others by chance.
+        if turn == 0:
+            rank = named.groupBy("node").agg((-F.count("*")).alias("rank"))
+            named = written(named.join(rank, "node"), "lists")
+        else:
+            named = named.drop("rank").withColumn("rank", F.xxhash64(F.lit(turn), "node"))
+        centre = named.groupBy("key").agg(F.min(F.struct("rank", "node", "label")).alias("c")).select("key", F.col("c.node").alias("centre"), F.col("c.label").alias("top"))
+        star = named.join(centre, "key").where("label <> top").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"))
+        done, found = _compared(docs, id, text, star.join(pairs, ["a", "b"], "left_anti"), nodes, k, p, q)
+        pairs = pairs.union(done)
+        if found.isEmpty():
+            break
+        links = written(links.union(found), "links")
+        labels = components(links)
+        named = _named(named.select("key", "node"), labels)
+        open_ = _open(named)
+
+    # what is left: pairs of nodes of different components on one list
+    rest = named.join(open_.select("key"), "key").select("key", "node", "label").join(nodes.select("node", "n", "bits"), "node")
+    rest = written(rest, "lists")
+    one, two = (rest.select("key", *(F.col(x).alias(f"{x}_{c}") for x in ("node", "label", "n", "bits"))) for c in "ab")
+    more = one.join(two, (one.key == two.key) & (F.col("label_a") != F.col("label_b")) & (F.col("node_a") < F.col("node_b")) & _may_link(p, q))
+    more = more.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+    _, found = _compared(docs, id, text, more.join(pairs, ["a", "b"], "left_anti"), nodes, k, p, q)
+    if not found.isEmpty():
+        labels = components(links.union(found))
     return rows.select("id", "hash", "n", "node").join(labels, "node", "left").select("id", "hash", "n", F.coalesce("label", "node").alias("label"))
 
 
