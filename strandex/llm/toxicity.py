@@ -19,7 +19,6 @@ Without labels of both classes every score is 0. Only texts are inputs of a scor
 
 from __future__ import annotations
 
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -117,6 +116,15 @@ class Model:
 
     def worst(self, texts: list[str]) -> np.ndarray:
         """The highest word score of each text."""
+        out, low, n = [np.zeros(0, np.float32)], 0, 0
+        for i, t in enumerate(texts):  # a slice of characters at a time, as its arrays are many times as large
+            n += len(t) + 1
+            if n > 300_000 or i + 1 == len(texts):
+                out.append(self._worst(texts[low : i + 1]))
+                low, n = i + 1, 0
+        return np.concatenate(out)
+
+    def _worst(self, texts: list[str]) -> np.ndarray:
         stream = Stream(texts)
         best = np.zeros(len(texts), np.float32)
         scores = stream.word_sums(self.weight)
@@ -150,13 +158,13 @@ class Kernel:
     def __init__(self, fixed: list[str]):
         rows, codes, weights = _sparse(fixed)
         self.codes, at = np.unique(codes, return_inverse=True)
-        self.dense = np.zeros((len(self.codes), len(fixed)))
+        self.dense = np.zeros((len(self.codes), len(fixed)), np.float32)
         np.add.at(self.dense, (at, rows), weights)
 
     def of(self, words: list[str]) -> np.ndarray:
         out = np.zeros((len(words), self.dense.shape[1]))
-        for low in range(0, len(words), 2000):
-            rows, codes, weights = _sparse(words[low : low + 2000])
+        for low in range(0, len(words), 250):
+            rows, codes, weights = _sparse(words[low : low + 250])
             at = np.searchsorted(self.codes, codes)
             known = (at < len(self.codes)) & (self.codes[np.minimum(at, len(self.codes) - 1)] == codes)
             np.add.at(out, rows[known] + low, self.dense[at[known]] * weights[known, None])
@@ -165,6 +173,8 @@ class Kernel:
 
 def _pivots(words: list[str], most: int) -> list[int]:
     """Words that span the others best: pivoted Cholesky of their kernel matrix, each word's own value made 1."""
+    if not words:
+        return []
     k = Kernel(words).of(words)
     size = np.sqrt(np.maximum(k.diagonal(), 1e-9))
     k = k / size / size[:, None]
@@ -195,17 +205,15 @@ def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float = 1.0) ->
     return w
 
 
-def _different(bags: list[set[str]]) -> list[set[str]]:
+def _different(bags: list[np.ndarray]) -> list[np.ndarray]:
     """Without bags that are near copies of an earlier one: four smallest word hashes in common in one of four bands."""
-    from zlib import crc32
-
     seen: set[tuple] = set()
     out = []
     factors = np.random.default_rng(3).integers(1 << 30, 1 << 32, 16, dtype=np.uint64) | np.uint64(1)
     for bag in bags:
-        if not bag:
+        if not len(bag):
             continue
-        raw = np.array([crc32(w.encode()) for w in bag], np.uint64)
+        raw = (bag.astype(np.uint64) + np.uint64(1)) * np.uint64(2654435761)
         low = ((raw[:, None] * factors) & np.uint64(0xFFFFFFFF)).min(axis=0).tolist()
         bands = {(i, *low[i : i + 4]) for i in range(0, 16, 4)}
         if not bands & seen:
@@ -242,27 +250,33 @@ def train(toxic: list[str], clean: list[str], seed: int = 11) -> Model:
     if not toxic or not clean:
         return Model(np.zeros(1 << 18, np.float32), 0.0, 0.0, 0.0, False)
     rng = np.random.default_rng(seed)
-    bad, good = _different([_words(t) for t in toxic]), _different([_words(t) for t in clean])
-    in_bad, in_good = Counter(w for b in bad for w in b), Counter(w for b in good for w in b)
+    number: dict[str, int] = {}  # bags are numbers of words, as sets of strings would need a hundred times the memory
+    every_bad, every_good = ([np.array([number.setdefault(w, len(number)) for w in sorted(_words(t))], np.int32) for t in texts] for texts in (toxic, clean))
+    names = list(number)
+    bad, good = _different(every_bad), _different(every_good)
+    in_bad, in_good = (np.bincount(np.concatenate([np.zeros(0, np.int32), *bags]), minlength=len(names)) for bags in (bad, good))
     share = len(bad) / (len(bad) + len(good))
-
-    def surprise(w: str) -> float:
-        """Likelihood ratio of a word's count in toxic bags, given its count in all."""
-        p, n = in_bad[w], in_good[w]
-        e = (p + n) * share
-        return 2 * (p * np.log(p / e) + (n * np.log(n / (p + n - e)) if n else 0)) if p > e else 0.0
-
-    ranked = sorted(((surprise(w), w) for w in in_bad if in_bad[w] >= 2), reverse=True)
+    # likelihood ratio of each word's count in toxic bags, given its count in all
+    p, n = in_bad.astype(float), in_good.astype(float)
+    e = np.maximum((p + n) * share, 1e-9)
+    ratio = 2 * (p * np.log(np.maximum(p, 1e-9) / e) + n * np.log(np.maximum(n, 1e-9) / np.maximum(p + n - e, 1e-9)))
+    often = np.flatnonzero((p > e) & (p >= 2))
+    ranked = often[np.argsort(-ratio[often], kind="stable")]
     # a ratio that no word of a corpus of so many would reach by chance
     least = 2 * np.log(len(ranked) + 1) + 2
-    seeds = [w for s, w in ranked if s > least and in_bad[w] > 5 * in_good[w] * share / (1 - share)] or [w for _, w in ranked[:10]] or sorted(in_bad)[:10]
-    common = [w for w, _ in in_good.most_common(CANDIDATES // 4)]
-    others = sorted({w for t in clean for w in _words(t)})
-    others = [others[i] for i in rng.permutation(len(others))]
-    negative = list(dict.fromkeys([*common, *others[:WORDS]]))
+    first = [i for i in ranked if ratio[i] > least and p[i] > 5 * n[i] * share / (1 - share)]
+    seeds = [names[i] for i in first or ranked[:10].tolist() or range(min(10, len(names)))]
+    clean_words = np.zeros(len(names), bool)
+    for bag in every_good:
+        clean_words[bag] = True
+    pool = np.flatnonzero(clean_words)
+    others = [names[i] for i in pool[rng.permutation(len(pool))]]
+    negative = list(dict.fromkeys([*(names[i] for i in np.argsort(-in_good, kind="stable")[: CANDIDATES // 4] if clean_words[i]), *others[:WORDS]]))
     # two halves, so that toxic words are spanned as well as clean ones
     toxic_half, clean_half = seeds[:CANDIDATES], negative[:CANDIDATES]
     landmarks = list(dict.fromkeys([*(toxic_half[i] for i in _pivots(toxic_half, LANDMARKS // 2)), *(clean_half[i] for i in _pivots(clean_half, LANDMARKS // 2))]))
+    if not landmarks:  # no word has three characters
+        return Model(np.zeros(1 << 18, np.float32), 0.0, 0.0, 0.0, False)
     kernel = Kernel(landmarks)
     values, vectors = np.linalg.eigh(kernel.of(landmarks))
     large = values > values.max() * 1e-6
@@ -281,14 +295,15 @@ def train(toxic: list[str], clean: list[str], seed: int = 11) -> Model:
         weight[kernel.codes] = kernel.dense @ w
         return Model(weight, -1.0, 1.0, 0.0)
 
-    known = set(others)
-    every = sorted({x for b in bad for x in b if x not in known})
+    own = [bag[~clean_words[bag]] for bag in bad]
+    every = np.unique(np.concatenate([np.zeros(0, np.int32), *own]))
+    score = np.full(len(names), -np.inf, np.float32)
     positive = seeds
     for _ in range(4):
         model = collapsed(fit(positive))
-        score = dict(zip(every, model.worst(every), strict=True))
-        witnesses = {max(own, key=score.__getitem__) for b in bad if (own := [x for x in b if x in score])}
-        positive = sorted({x for x in witnesses if score[x] > -0.5} | set(seeds))
+        score[every] = model.worst([names[i] for i in every])
+        witnesses = {int(bag[score[bag].argmax()]) for bag in own if len(bag)}
+        positive = sorted({names[x] for x in witnesses if score[x] > -0.5} | set(seeds))
         # clean words that the machine takes for toxic ones are the next ones it should learn
         negative = list(dict.fromkeys([*negative, *(others[i] for i in np.argsort(-model.worst(others), kind="stable")[:1500])]))
     model = collapsed(fit(positive))
@@ -339,14 +354,7 @@ def toxicity(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     def score(batches):
         for batch in batches:
             texts = [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]
-            out, low, n = [], 0, 0
-            for i, t in enumerate(texts):
-                n += len(t)
-                if n > 400_000 or i + 1 == len(texts):
-                    out.append(shared.value.scores(texts[low : i + 1]))
-                    low, n = i + 1, 0
-            found = np.concatenate(out) if out else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.float64())], [*batch.schema.names[:-1], "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(shared.value.scores(texts), pa.float64())], [*batch.schema.names[:-1], "score"])
 
     kept = docs.columns
     # names may clash or repeat, so columns travel by place

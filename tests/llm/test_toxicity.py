@@ -70,6 +70,8 @@ def test_gaps_insertions_and_length(model):
 
 def test_one_class_scores_nothing():
     assert T.train([], ["a"]).scores(["a", ""]).tolist() == [0, 0]
+    assert T.train(["", "a b"], ["", "ab"]).scores(["a", ""]).tolist() == [0, 0]
+    assert T.train(["stupid"], ["", "word"]).scores(["stupid", "word"]).tolist()[0] > 0.5
 
 
 def test_rows_and_columns_stay(spark, model):
