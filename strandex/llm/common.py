@@ -52,7 +52,7 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return body[at[0] : at[-1]], at - at[0]
 
 
-def slices(offsets: np.ndarray, most: int = 1 << 21) -> Iterator[tuple[int, int]]:
+def slices(offsets: np.ndarray, most: int = 1 << 19) -> Iterator[tuple[int, int]]:
     """Consecutive runs of rows of at most `most` bytes together, or of one longer row."""
     low, n = 0, len(offsets) - 1
     while low < n:

@@ -234,14 +234,6 @@ def _named(lists: DataFrame, labels: DataFrame) -> DataFrame:
     return written(lists.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label")), "named")
 
 
-def _open(named: DataFrame) -> DataFrame:
-    """key, pairs (of nodes of different components), many (as many as its nodes, or more) of lists that have such pairs."""
-    each = named.groupBy("key", "label").agg(F.count("*").alias("n"))
-    lists = each.groupBy("key").agg(F.sum("n").alias("nodes"), F.sum(F.col("n") * F.col("n")).alias("same"), F.count("*").alias("labels"))
-    counted = lists.where("labels > 1").select("key", ((F.col("nodes") * F.col("nodes") - F.col("same")) / 2).cast("long").alias("pairs"), (4 * F.col("nodes")).alias("many"))
-    return written(counted, "open")
-
-
 def without_near_copies(docs: DataFrame, k: int = 5, p: int = 4, q: int = 5, id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with one row of each component: that of the smallest id (null is smallest), then the smallest text hash.
 
@@ -272,34 +264,33 @@ def _labelled(docs: DataFrame, k: int, p: int, q: int, id: str, text: str) -> Da
     pairs, links = _compared(docs, id, text, centred, nodes, k, p, q)
     labels = components(links)
 
-    # lists on which some node isn't in the centre's component
-    named = _named(members.select("key", "node").union(members.select("key", "centre")).distinct(), labels)
-    open_ = _open(named)
+    # all nodes of each list; from round to round only lists that still have nodes of different components
+    lists = members.select("key", "node").union(members.select("key", "centre")).distinct()
     for turn in range(STARS):
-        before, after = open_.agg(F.coalesce(F.sum("pairs"), F.lit(0)), F.coalesce(F.sum("many"), F.lit(0))).first()
-        if before <= after:
-            break
-        named = written(named.join(open_.select("key"), "key").select("key", "node", "label"), "lists")
-        # first the node that is on most of these lists: edits take a copy off some. Then others by chance.
+        lists = _named(lists, labels)
+        # first the node that is on most lists: edits take a copy off some of its original's. Then others by chance.
         if turn == 0:
-            rank = named.groupBy("node").agg((-F.count("*")).alias("rank"))
-            named = written(named.join(rank, "node"), "lists")
+            ranked = lists.join(lists.groupBy("node").agg((-F.count("*")).alias("rank")), "node")
         else:
-            named = named.drop("rank").withColumn("rank", F.xxhash64(F.lit(turn), "node"))
-        centre = named.groupBy("key").agg(F.min(F.struct("rank", "node", "label")).alias("c")).select("key", F.col("c.node").alias("centre"), F.col("c.label").alias("top"))
-        star = named.join(centre, "key").where("label <> top").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"))
+            ranked = lists.withColumn("rank", F.xxhash64(F.lit(turn), "node"))
+        each = ranked.groupBy("key", "label").agg(F.count("*").alias("n"), F.min(F.struct("rank", "node", "label")).alias("c"))
+        each = each.groupBy("key").agg(F.sum("n").alias("nodes"), F.sum(F.col("n") * F.col("n")).alias("same"), F.count("*").alias("labels"), F.min("c").alias("c"))
+        open_ = written(each.where("labels > 1").select("key", ((F.col("nodes") * F.col("nodes") - F.col("same")) / 2).cast("long").alias("pairs"), (4 * F.col("nodes")).alias("many"), F.col("c.node").alias("centre"), F.col("c.label").alias("top")), "open")
+        left, few = open_.agg(F.coalesce(F.sum("pairs"), F.lit(0)), F.coalesce(F.sum("many"), F.lit(0))).first()
+        if left <= few:
+            break
+        stars = written(lists.join(open_.select("key", "centre", "top"), "key"), "stars")
+        star = stars.where("label <> top").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"))
         done, found = _compared(docs, id, text, star.join(pairs, ["a", "b"], "left_anti"), nodes, k, p, q)
         pairs = pairs.union(done)
+        lists = stars.select("key", "node")
         if found.isEmpty():
             break
         links = written(links.union(found), "links")
         labels = components(links)
-        named = _named(named.select("key", "node"), labels)
-        open_ = _open(named)
 
     # what is left: pairs of nodes of different components on one list
-    rest = named.join(open_.select("key"), "key").select("key", "node", "label").join(nodes.select("node", "n", "bits"), "node")
-    rest = written(rest, "lists")
+    rest = _named(lists.select("key", "node"), labels).join(nodes.select("node", "n", "bits"), "node")
     one, two = (rest.select("key", *(F.col(x).alias(f"{x}_{c}") for x in ("node", "label", "n", "bits"))) for c in "ab")
     more = one.join(two, (one.key == two.key) & (F.col("label_a") != F.col("label_b")) & (F.col("node_a") < F.col("node_b")) & _may_link(p, q))
     more = more.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
