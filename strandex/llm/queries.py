@@ -5,6 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 _NAMES = {
+    "op6_html_text": "html_text",
     "op5_fingerprints": "spotsigs",
     "op8_sharding": "sharding",
     "op4_mixing": "mixing",
