@@ -21,8 +21,8 @@ Before texts are read again to compare a pair, its sizes and a folded form of it
 differ) must allow a link; for unrelated documents that share a passage they don't.
 
 Sets without shingles (null, empty or blank texts) are linked with nothing. Rows with repeated ids are kept each.
-Nodes are 64-bit digests of sets, as shingles are 64-bit hashes: distinct sets of a corpus of 10^9 documents meet
-with a probability under 0.03.
+Equal sets are known by 64-bit digests, as shingles are by 64-bit hashes: distinct sets of a corpus of 10^9 documents
+meet with a probability under 0.03.
 """
 
 from __future__ import annotations
@@ -34,6 +34,7 @@ from math import comb, exp
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,7 +44,7 @@ from .words import mix, shingles
 
 #: Ids that a node's text is fetched for by a broadcast table at most; above, by a shuffled join.
 BROADCAST_IDS = 2_000_000
-#: Bits of a set's folded form.
+#: Bits of a set's folded form at least.
 BITS = 1024
 #: Further rounds of stars at most.
 STARS = 6
@@ -144,43 +145,56 @@ def keys(hashes: np.ndarray, plan: Plan) -> np.ndarray:
 
 
 def parity(hashes: np.ndarray) -> np.ndarray:
-    """BITS bits, each whether an odd number of the set's shingles fall on it. Two sets differ in as many shingles at
-    least as their bits do."""
-    odd = np.bincount((hashes % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1
+    """Bits, BITS or a power of two from the set's size on, each whether an odd number of the set's shingles fall on it.
+    Two sets differ in as many shingles at least as their bits do; halves laid over each other are the bits for half."""
+    bits = max(BITS, 1 << int(max(len(hashes) - 1, 1)).bit_length())
+    odd = np.bincount((hashes % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
 def _may_link(p: int, q: int) -> F.Column:
     """Whether sizes n_a, n_b and bits bits_a, bits_b allow a link."""
-    differing = sum((F.bit_count(F.col("bits_a")[i].bitwiseXOR(F.col("bits_b")[i])) for i in range(BITS // 64)), F.lit(0))
+    words = BITS // 64
+    short = sum((F.bit_count(F.get("bits_a", i).bitwiseXOR(F.get("bits_b", i))) for i in range(words)), F.lit(0))
+
+    def halved(c: str, other: str) -> F.Column:
+        half = (F.size(c) / 2).cast("int")
+        folded = F.zip_with(F.slice(c, F.lit(1), half), F.slice(c, half + 1, half), lambda x, y: x.bitwiseXOR(y))
+        return F.when(F.size(c) == 2 * F.size(other), folded).otherwise(F.col(c))
+
+    apart = F.zip_with(halved("bits_a", "bits_b"), halved("bits_b", "bits_a"), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    differing = F.when((F.size("bits_a") == words) & (F.size("bits_b") == words), short).otherwise(F.aggregate(apart, F.lit(0), lambda s, x: s + F.coalesce(x, F.lit(0))))
     return (q * F.least("n_a", "n_b") >= p * F.greatest("n_a", "n_b")) & ((q + p) * differing <= (q - p) * (F.col("n_a") + F.col("n_b")))
 
 
 def profiles(docs: DataFrame, id: str, text: str, k: int, p: int, q: int) -> DataFrame:
-    """id, hash (of the text), n (shingles), node, bits, keys of every row; keys only for the first row of a node that a task meets."""
+    """id, hash (of the text), row (a number), n (shingles), digest (of the set), bits, keys of every row; keys only for
+    the first row of a digest that a task meets."""
 
     def of(batches):
         own, seen = plan(p, q), set()
+        row = TaskContext.get().partitionId() << 36
         for batch in batches:
             body, offsets = utf8(batch.column(1))
             sizes, nodes, folded, listed, ends = [], [], [], [], [0]
+            first, row = row, row + batch.num_rows
             for h in shingles(body, offsets, k):
-                node = int(mix(mix(h).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(h)))[0])
-                fresh = node not in seen and len(h) > 0
+                digest = int(mix(mix(h).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(h)))[0])
+                fresh = digest not in seen and len(h) > 0
                 if fresh:
                     if len(seen) >= REMEMBERED:
                         seen.clear()
-                    seen.add(node)
+                    seen.add(digest)
                     listed.append(keys(h, own))
                 sizes.append(len(h))
                 folded.append(parity(h))
-                nodes.append(node)
+                nodes.append(digest)
                 ends.append(ends[-1] + (len(listed[-1]) if fresh else 0))
             flat = np.concatenate(listed).view(np.int64) if listed else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate([np.zeros(0, np.int64), *folded])), BITS // 64).cast(pa.list_(pa.int64())), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], ["id", "hash", "n", "node", "bits", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(np.arange(first, row)), pa.array(sizes, pa.int64()), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, folded)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *folded]))), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], ["id", "hash", "row", "n", "digest", "bits", "keys"])
 
     kind = docs.schema[id].dataType.simpleString()
-    return docs.select(F.col(id).alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("hash")).mapInArrow(of, f"id {kind}, hash long, n long, node long, bits array<long>, keys array<long>")
+    return docs.select(F.col(id).alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("hash")).mapInArrow(of, f"id {kind}, hash long, row long, n long, digest long, bits array<long>, keys array<long>")
 
 
 def _linked(pairs: DataFrame, texts: DataFrame, k: int, p: int, q: int) -> DataFrame:
@@ -202,7 +216,7 @@ def _linked(pairs: DataFrame, texts: DataFrame, k: int, p: int, q: int) -> DataF
 
 def _texts(docs: DataFrame, id: str, text: str, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """node, text of the nodes in pairs, each read from one of its rows."""
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes, "node").select("node", "row.*")
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes, "node").select("node", "at.*")
     wanted = written(wanted, "wanted")
     n = wanted.count()
     all_texts = docs.select(F.col(id).alias("id_"), F.col(text).alias("text"), F.xxhash64(text).alias("hash_"))
@@ -255,8 +269,13 @@ def _labelled(docs: DataFrame, k: int, p: int, q: int, id: str, text: str) -> Da
     """id, hash, n, label (of the component) of every row."""
     rows = written(profiles(docs, id, text, k, p, q), "profiles")
     some = rows.where("n > 0")
-    nodes = written(some.groupBy("node").agg(F.min(F.struct("id", "hash")).alias("row"), F.first("n").alias("n"), F.first("bits").alias("bits")), "nodes")
-    listed = some.where(F.size("keys") > 0).select("node", F.explode("keys").alias("key"))
+    # a node is the smallest row number of a digest that lists keys
+    nodes = some.groupBy("digest").agg(F.min(F.when(F.size("keys") >= 0, F.struct("row", "n", "bits"))).alias("first"), F.min(F.struct("id", "hash")).alias("at"))
+    nodes = written(nodes.select("digest", F.col("first.row").alias("node"), F.col("first.n").alias("n"), F.col("first.bits").alias("bits"), "at"), "nodes")
+    repeats = written(some.where(F.size("keys") > 0).select("row", "digest").join(nodes.select("digest", "node"), "digest").where("row <> node").select("row"), "repeats")
+    keyed = some.where(F.size("keys") > 0).select("row", "keys").join(F.broadcast(repeats) if repeats.count() <= BROADCAST_IDS else repeats, "row", "left_anti")
+    # one shuffle serves the lists' centres and their members
+    listed = keyed.select(F.col("row").alias("node"), F.explode("keys").alias("key")).repartition("key")
     shared = listed.groupBy("key").agg(F.min("node").alias("centre"), F.max("node").alias("most")).where("centre <> most").select("key", "centre")
     members = written(listed.join(shared, "key").where("node <> centre").distinct(), "lists")
 
@@ -297,7 +316,8 @@ def _labelled(docs: DataFrame, k: int, p: int, q: int, id: str, text: str) -> Da
     _, found = _compared(docs, id, text, more.join(pairs, ["a", "b"], "left_anti"), nodes, k, p, q)
     if not found.isEmpty():
         labels = components(links.union(found))
-    return rows.select("id", "hash", "n", "node").join(labels, "node", "left").select("id", "hash", "n", F.coalesce("label", "node").alias("label"))
+    named = nodes.select("digest", "node").join(labels, "node", "left").select("digest", F.coalesce("label", "node").alias("label"))
+    return rows.select("id", "hash", "n", "digest").join(named, "digest", "left").select("id", "hash", "n", "label")
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
