@@ -5,6 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 _NAMES = {
+    "op1_chroma": "media",
     "op3_chat": "chat",
     "op6_html_text": "html_text",
     "op5_fingerprints": "spotsigs",
