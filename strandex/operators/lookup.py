@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.regex import to_java
 from ..functions.text import has_description, normalize_query, primary_id
+from ..storage import written
 
 #: Queries whose table is broadcast at most; above, catalog and queries meet by a shuffle on the ID.
 BROADCAST_QUERIES = 1_000_000
@@ -83,8 +84,10 @@ def combined(matches: DataFrame | None, hits: DataFrame | None, by_offset: bool
 
 def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
     """df with dense numbers from 0 in the order given, without a window over all rows in one task: rows are
-    partitioned by range, ranges are counted, and each counts on from those before it."""
-    ranged = df.repartitionByRange(*order).withColumn("range_", F.spark_partition_id())
+    partitioned by range and written (another sample would draw other ranges), ranges are counted, and each counts on
+    from those before it."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = written(df.repartitionByRange(parts, *order).withColumn("range_", F.spark_partition_id()), "ranges")
     sizes = ranged.groupBy("range_").count()
     before = sizes.select(F.col("range_").alias("own_"), (F.sum("count").over(Window.orderBy("range_")) - F.col("count")).alias("before_"))
     within = F.row_number().over(Window.partitionBy("range_").orderBy(*order)) - 1
