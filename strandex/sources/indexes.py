@@ -13,7 +13,7 @@ from ..schemas import GZI
 def read_fai(spark: SparkSession, path: str) -> DataFrame:
     """input_ordinal, full_id, sequence_length, raw_offset, line_bases, line_width of each line; blank lines are
     skipped; under five fields or numbers that aren't are errors; further fields are ignored."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     line = text.select(F.posexplode(F.split("value", "\n")).alias("input_ordinal", "line")).withColumn("line", F.regexp_replace("line", r"\r+\z", ""))
     field = F.split("line", "\t")
     rows = line.where(F.length(F.regexp_replace("line", r"\s", "")) > 0).withColumn("f", field)
