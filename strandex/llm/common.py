@@ -2,39 +2,20 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+from ..storage import shared_dir, written
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names for checkpoints; a temporary one of our own only where none is set (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        import tempfile
+__all__ = ["shared_dir", "slices", "table", "utf8", "written"]
 
-        found = "file://" + tempfile.mkdtemp(prefix="strandex-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found
 
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """df written as Parquet to the shared folder and read back: its lineage ends there, so that neither a lost
-    executor nor a second use computes it again. The files go when the driver's JVM ends."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
