@@ -16,7 +16,7 @@ is one of its own. Each row gives one row, with its part of the rendered convers
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,14 +54,21 @@ def _role(role):
     return role if role in ROLES else None
 
 
+def _step(role: str | None) -> np.ndarray:
+    out = np.full((4, 4), _NONE)
+    for state, to, c, _, _ in _MOVES[role]:
+        out[state, to] = min(out[state, to], c)
+    return out
+
+
+_STEPS = {r: _step(r) for r in _MOVES}
+
+
 def transfer(roles: list) -> np.ndarray:
     """Cheapest costs from each state before the turns to each behind them."""
     cost = np.where(np.eye(4, dtype=bool), 0, _NONE)
     for r in roles:
-        fresh = np.full((4, 4), _NONE)
-        for state, to, c, _, _ in _MOVES[_role(r)]:
-            fresh[:, to] = np.minimum(fresh[:, to], cost[:, state] + c)
-        cost = np.minimum(fresh, _NONE)
+        cost = np.minimum((cost[:, :, None] + _STEPS[_role(r)]).min(axis=1), _NONE)
     return cost
 
 
@@ -125,40 +132,71 @@ def repaired(turns: DataFrame, conversation: str = "conv_id", turn: str = "turn"
     kind = rows.schema["conv"].dataType.simpleString()
     # any type of id, null too, travels as text
     rows = rows.withColumn("conv", F.struct("conv")).withColumn("key", F.to_json("conv"))
-    order = ["turn", "role", "text"]
-
-    def sort(frame: pd.DataFrame) -> pd.DataFrame:
-        return frame.sort_values(order, na_position="first", kind="stable")
-
-    def matrix(frame: pd.DataFrame) -> pd.DataFrame:
-        roles = [r if isinstance(r, str) else None for r in sort(frame)["role"]]
-        return pd.DataFrame({"key": frame["key"].iloc[:1], "block": frame["block"].iloc[:1], "costs": [transfer(roles).ravel().tolist()]})
-
-    def path(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("block")
-        states, _ = best_path([np.array(list(c)).reshape(4, 4) for c in frame["costs"]])
-        n = len(frame)
-        return pd.DataFrame({"key_": frame["key"], "block_": frame["block"], "before": states[:-1] if n else [], "behind": states[1:], "first": [i == 0 for i in range(n)], "last": [i + 1 == n for i in range(n)]})
-
-    def render(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = sort(frame)
-        head = frame.iloc[0]
-        roles = [r if isinstance(r, str) else None for r in frame["role"]]
-        texts = [t if isinstance(t, str) else None for t in frame["text"]]
-        done = _rendered(roles, texts, int(head["before"]), int(head["behind"]), bool(head["first"]), bool(head["last"]))
-        out = frame[["key", "turn", "role"]].copy()
-        out["place"] = range(len(frame))
-        for i, c in enumerate(("action", "new_role", "rendered", "cost")):
-            out[c] = [d[i] for d in done]
-        return out
-
-    narrow = rows.select("key", "block", "turn", "role", F.col("text"))
-    blocks = written(narrow.groupBy("key", "block").applyInPandas(matrix, "key string, block long, costs array<long>"), "matrices")
-    paths = blocks.groupBy("key").applyInPandas(path, "key_ string, block_ long, before long, behind long, first boolean, last boolean")
-    joined = narrow.join(paths, (F.col("key") == F.col("key_")) & (F.col("block") == F.col("block_"))).drop("key_", "block_")
-    done = joined.groupBy("key", "block").applyInPandas(render, "key string, turn long, role string, place long, action string, new_role string, rendered string, cost long")
+
+    def matrix(batches):
+        for batch_of in _grouped(batches, ["key", "block"]):
+            rows = [(*g, transfer(roles).ravel().tolist()) for g, (roles,) in batch_of]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.string(), pa.int64(), pa.list_(pa.int64())))], ["key", "block", "costs"])
+
+    def path(batches):
+        for batch_of in _grouped(batches, ["key"]):
+            rows = []
+            for (key,), (blocks_, costs) in batch_of:
+                states, _ = best_path([np.array(c).reshape(4, 4) for c in costs])
+                n = len(blocks_)
+                rows += [(key, b, states[i], states[i + 1], i == 0, i + 1 == n) for i, b in enumerate(blocks_)]
+            kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["key", "block", "before", "behind", "first", "last"])
+
+    def render(batches):
+        for batch_of in _grouped(batches, ["key", "block"]):
+            rows = []
+            for (key, _), (_, turns_, roles, texts, before, behind, first, last) in batch_of:
+                done = _rendered(roles[1:], texts[1:], before[0], behind[0], first[0], last[0])
+                rows += [(key, t, r, i, *d) for i, (t, r, d) in enumerate(zip(turns_[1:], roles[1:], done, strict=True))]
+            kinds = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["key", "turn", "role", "place", "action", "new_role", "rendered", "cost"])
+
+    narrow = rows.select("key", "block", "turn", "role", "text")
+    order = ["key", "block", "turn", "role", "text"]
+    roles = narrow.repartition("key", "block").sortWithinPartitions(*order).select("key", "block", "role")
+    blocks = written(roles.mapInArrow(matrix, "key string, block long, costs array<long>"), "matrices")
+    paths = blocks.repartition("key").sortWithinPartitions("key", "block").mapInArrow(path, "key string, block long, before long, behind long, first boolean, last boolean")
+    # a block's states come as a row before its turns, so that one shuffle brings both together
+    paths = paths.select("key", "block", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("turn"), F.lit(None).cast("string").alias("role"), F.lit(None).cast("string").alias("text"), "before", "behind", "first", "last")
+    none = (F.lit(None).cast(k).alias(c) for c, k in (("before", "long"), ("behind", "long"), ("first", "boolean"), ("last", "boolean")))
+    both = paths.unionByName(narrow.select("key", "block", F.lit(1).alias("kind"), "turn", "role", "text", *none))
+    both = both.repartition("key", "block").sortWithinPartitions("key", "block", "kind", "turn", "role", "text")
+    done = both.mapInArrow(render, "key string, turn long, role string, place long, action string, new_role string, rendered string, cost long")
     return done.select(F.from_json("key", f"conv {kind}")["conv"].alias("conv_id"), "turn", "role", "place", "action", "new_role", "rendered", "cost")
 
 
+def _grouped(batches, by: list[str]):
+    """For each batch, the groups of equal leading columns that it completes: key, lists of the other columns. Rows
+    come sorted; what a batch leaves open is carried into the next."""
+    key, columns = None, None
+    for batch in batches:
+        done = []
+        values = [batch.column(i).to_pylist() for i in range(batch.num_columns)]
+        keys = list(zip(*values[: len(by)], strict=True))
+        start = 0
+        for i in range(1, len(keys) + 1):
+            if i < len(keys) and keys[i] == keys[start]:
+                continue
+            part = [v[start:i] for v in values[len(by) :]]
+            if columns is not None and keys[start] == key:
+                for own, more in zip(columns, part, strict=True):
+                    own.extend(more)
+            else:
+                if columns is not None:
+                    done.append((key, columns))
+                key, columns = keys[start], part
+            start = i
+        if done:
+            yield done
+    if columns is not None:
+        yield [(key, columns)]
+
+
 def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repaired(table(spark, sf_dir, "conversations"))
