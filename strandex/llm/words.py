@@ -55,7 +55,7 @@ def shingles(body: np.ndarray, offsets: np.ndarray, k: int) -> Iterator[np.ndarr
     for low, high in slices(offsets):
         at = offsets[low : high + 1]
         hashes, first = words(body[at[0] : at[-1]], at - at[0])
-        spread = [mix(hashes + np.uint64(j + 1) * _BASE) for j in range(k)]
+        spread = [mix(hashes + np.uint64((j + 1) * int(_BASE) % (1 << 64))) for j in range(k)]
         m = len(hashes) - k + 1
         joined = mix(sum((s[j : j + m] * np.uint64(2 * j + 1) for j, s in enumerate(spread)), np.zeros(m, np.uint64))) if m > 0 else hashes[:0]
         for a, b in zip(first[:-1], first[1:], strict=True):
