@@ -103,13 +103,15 @@ def fingerprint(pcm: bytes | None) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def fingerprints(recordings: DataFrame, id: str, audio: str) -> DataFrame:
-    """id, n_samples, prints of each row."""
+def fingerprints(recordings: DataFrame, id: str, audio: str, decode=None) -> DataFrame:
+    """id, n_samples, prints of each row. decode makes PCM of a value; it runs beside the fingerprint, one value at a
+    time, so that no batch of decoded sound is ever held."""
 
     def of(batches):
         for batch in batches:
             ids, sizes, prints, ends = batch.column(0), [], [], [0]
-            for pcm in batch.column(1).to_pylist():
+            for value in batch.column(1):
+                pcm = decode(value.as_py()) if decode else value.as_py()
                 prints.append(fingerprint(pcm))
                 sizes.append(len(pcm or b"") // 2)
                 ends.append(ends[-1] + len(prints[-1]))
@@ -148,20 +150,10 @@ def rendered(vector) -> bytes:
     return (8000 * sound.ravel()).astype("<i2").tobytes()
 
 
-def recordings(vectors: DataFrame) -> DataFrame:
-    """vec_id, audio of each row of a table of vectors."""
-
-    def sound(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([rendered(v) for v in batch.column(1).to_pylist()], pa.binary())], ["vec_id", "audio"])
-
-    return vectors.select("vec_id", "embedding").mapInArrow(sound, "vec_id long, audio binary")
-
-
 def op1_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every vector, rendered as sound, with its fingerprint and class; those whose id is divisible by 50 are searched
     for among all classes but their own."""
-    prints = written(fingerprints(recordings(table(spark, sf_dir, "embeddings")), "vec_id", "audio"), "prints")
+    prints = written(fingerprints(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", rendered), "prints")
     classes = written(prints.groupBy("prints").agg(F.min("id").alias("class")), "classes")
     members = written(prints.join(classes, "prints").select("id", "n_samples", "class", F.size("prints").alias("n_prints"), F.sha2(F.array_join(F.transform("prints", lambda x: x.cast("string")), ","), 256).alias("fingerprint_sha256"), "prints"), "members")
     wanted = members.where("id % 50 = 0 and n_prints > 0").groupBy("class").agg(F.first("prints").alias("prints")).withColumnRenamed("class", "query")
