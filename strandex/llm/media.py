@@ -139,15 +139,21 @@ def matched(queries: DataFrame, classes: DataFrame) -> DataFrame:
     return best.select("query", F.col("m.class").alias("match"), F.col("m.offset").cast("long").alias("offset"), F.col("m.bit_error").alias("bit_error"))
 
 
-def rendered(vector) -> bytes:
-    """A vector as three seconds of sound: each of its first 24 numbers is a note of an eighth of a second."""
-    v = np.nan_to_num(np.asarray(vector if vector is not None else [], np.float64))[:24]
-    if not len(v):
-        return b""
+def _notes() -> np.ndarray:
+    """The 25 notes of two octaves above 220 Hz, an eighth of a second each."""
     t = np.arange(RATE // 8) / RATE
-    pitch = 220.0 * 2 ** (np.round(24 * np.clip((v + 0.4) / 0.8, 0, 1)) / 12)
+    pitch = 220.0 * 2 ** (np.arange(25) / 12)
     sound = (np.sin(2 * np.pi * pitch[:, None] * t) + 0.4 * np.sin(4 * np.pi * pitch[:, None] * t)) * np.hanning(len(t)) ** 0.25
-    return (8000 * sound.ravel()).astype("<i2").tobytes()
+    return (8000 * sound).astype("<i2")
+
+
+_NOTES = _notes()
+
+
+def rendered(vector) -> bytes:
+    """A vector as sound: each of its numbers, however many, is a note of an eighth of a second."""
+    v = np.nan_to_num(np.asarray(vector if vector is not None else [], np.float64))
+    return _NOTES[np.round(24 * np.clip((v + 0.4) / 0.8, 0, 1)).astype(int)].tobytes()
 
 
 def op1_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -64,3 +64,14 @@ def test_alignment_finds_a_noisy_excerpt(spark):
         queries.append((100 + i, M.fingerprint((x + rng.normal(0, 60, len(x))).astype("<i2").tobytes()).tolist()))
     found = {r.query: r for r in M.matched(spark.createDataFrame(queries, "query long, prints array<long>"), classes).collect()}
     assert all(found[100 + i].match == i and found[100 + i].offset == cut and found[100 + i].bit_error < 0.15 for i in long_)
+
+
+def test_every_component_becomes_sound(spark, tmp_path):
+    v = np.random.default_rng(3).uniform(-0.3, 0.3, 64)
+    w = np.concatenate([v[:40], -v[40:]])  # differs from component 41 on only
+    assert len(M.rendered(v)) == 2 * 64 * M.RATE // 8 and M.rendered(None) == M.rendered([]) == b""
+    rows = [(i, x.tolist()) for i, x in enumerate([v, w, v, v[:30]])]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    out = {r.vec_id: r for r in M.op1_chroma(spark, str(tmp_path)).collect()}
+    assert [out[i].n_samples for i in range(4)] == [64_000, 64_000, 64_000, 30_000]
+    assert [out[i].class_id for i in range(4)] == [0, 1, 0, 3]
