@@ -1,4 +1,7 @@
+import os
+
 import numpy as np
+import pytest
 
 from strandex.llm import media as M
 
@@ -75,3 +78,51 @@ def test_every_component_becomes_sound(spark, tmp_path):
     out = {r.vec_id: r for r in M.op1_chroma(spark, str(tmp_path)).collect()}
     assert [out[i].n_samples for i in range(4)] == [64_000, 64_000, 64_000, 30_000]
     assert [out[i].class_id for i in range(4)] == [0, 1, 0, 3]
+
+
+def brute_force(queries, classes):
+    """Least error, class and offset of each query: every class and offset, bits counted one by one."""
+    out = {}
+    for name, a in queries.items():
+        found = []
+        for other, b in classes.items():
+            if other == name or not len(a) or not len(b):
+                continue
+            least = max(1, -(-min(len(a), len(b)) // 2))
+            for offset in range(-len(a) + 1, len(b)):
+                first, last = max(0, -offset), min(len(a), len(b) - offset)
+                if last - first >= least:
+                    x = np.array(a[first:last]) ^ np.array(b[first + offset : last + offset])
+                    found.append((int(np.unpackbits(x.astype("<u4").view(np.uint8)).sum()) / (32 * (last - first)), other, abs(offset), offset))
+        if found and min(found)[0] <= M.MAX_ERROR:
+            out[name] = (min(found)[1], min(found)[3], min(found)[0])
+    return out
+
+
+def test_recall_against_brute_force(spark):
+    d = "/root/testdata/sf0.01"
+    if not os.path.isdir(d):
+        pytest.skip("no tables")
+    out = M.op1_chroma(spark, d).collect()
+    prints = {r.vec_id: M.fingerprint(M.rendered(r.embedding)) for r in spark.read.parquet(f"{d}/embeddings.parquet").collect()}
+    classes = {r.class_id: prints[r.class_id] for r in out}
+    want = brute_force({r.class_id: prints[r.class_id] for r in out if r.vec_id % 50 == 0}, classes)
+    got = {r.class_id: (r.match_class, r.offset, r.bit_error) for r in out if r.vec_id % 50 == 0 and r.match_class is not None}
+    assert len(want) >= 10
+    assert sum(got.get(k) == v for k, v in want.items()) / len(want) >= 0.9
+    assert got.keys() <= want.keys()
+
+
+def test_search_of_any_lengths_is_exact():
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 1 << 32, 90)
+    rows = {}
+    for i, n in enumerate([1, 2, 7, 7, 30, 30, 31, 64, 90, 90, 90]):
+        noise = (rng.random((n, 32)) < 0.04 * i) @ (1 << np.arange(32))
+        rows[i] = base[:n] ^ noise
+    rows[11], rows[12] = rows[9].copy(), rng.integers(0, 1 << 32, 40)
+    found = M.search(list(rows.items()), list(rows.items()))
+    got = {}
+    for i, j, offset, error in sorted(found, key=lambda x: (x[0], x[1])):
+        got.setdefault(i, (j, offset, error))
+    assert got == brute_force(rows, rows)
