@@ -2,10 +2,10 @@
 
 A row's key is the hash of its text, so that equal texts stand side by side. A sample of keys, drawn with a
 probability in proportion to a row's size, gives quantiles that cut the keys into ranges of about equal size; each
-range's true size is then counted over all rows. A range that is overfull, since few texts fill it, is subdivided by a
-hash of the row's id into parts of at most the target. Ranges in order of their keys, then parts, form one line, which
-is cut into shards at equal shares of the total size: a group of equal texts goes whole to the shard that its middle
-falls in, unless it was subdivided. So shards differ by about one range, whatever the sizes and copies, and places in a
+range's true size is then counted over all rows. In an overfull range, keys that alone exceed the target are subdivided
+by a hash of the row's place in the table into parts of about the target; its other keys stay whole, in the range's
+first part. Ranges in order of their keys, then parts, form one line, which is cut into shards at equal shares of the
+total size: a group of equal texts goes whole to the shard that its middle falls in, unless it was subdivided. So shards differ by about one range, whatever the sizes and copies, and places in a
 shard count up without a gap.
 
 Null texts have size 1 and the checksum of the empty text; null ids and repeated rows are rows like others. An empty
@@ -57,10 +57,16 @@ def shards(docs: DataFrame, count: int = 16, id: str = "doc_id", text: str = "te
 
     placed = written(rows.withColumn("range", _bucket("key", splitters)), "placed")
     target = max(1, total // (RANGES // 2 * count))
-    overfull = placed.groupBy("range").agg(F.sum("size").alias("bytes")).where(F.col("bytes") > target).select(F.col("range").alias("range_"), F.ceil(F.col("bytes") / target).cast("int").alias("parts"))
-    # only ranges that a single text can't leave: other overfull ranges are a few rows over by chance
-    part = F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id"), F.col("parts")).cast("int"))
-    split = placed.join(F.broadcast(overfull), F.col("range") == F.col("range_"), "left").withColumn("part", part).select("doc_id", "size", "text_crc32", "key", "range", "part")
+    overfull = placed.groupBy("range").agg(F.sum("size").alias("bytes")).where(F.col("bytes") > target).select("range")
+    # fewer keys than RANGES // 2 * count can be hot: each alone exceeds the target
+    hot = placed.join(F.broadcast(overfull), "range", "left_semi").groupBy("range", "key").agg(F.sum("size").alias("bytes")).where(F.col("bytes") > target)
+    hot = hot.withColumn("parts", F.ceil(F.col("bytes") / target).cast("int"))
+    earlier = Window.partitionBy("range").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
+    hot = hot.select(F.col("key").alias("key_"), "parts", (F.coalesce(F.sum("parts").over(earlier), F.lit(0)) + 1).cast("int").alias("first_part"))
+    # the place differs between rows with equal ids
+    numbered = placed.withColumn("place", F.monotonically_increasing_id())
+    part = F.when(F.col("parts").isNull(), 0).otherwise(F.col("first_part") + F.pmod(F.xxhash64(F.lit(seed + 1), "place"), F.col("parts")).cast("int"))
+    split = numbered.join(F.broadcast(hot), F.col("key") == F.col("key_"), "left").withColumn("part", part).select("doc_id", "size", "text_crc32", "key", "range", "part")
     split = written(split, "split")
 
     # the line of parts: how many bytes and rows stand before each

@@ -38,5 +38,24 @@ def test_small_groups_stay_whole_and_a_huge_one_is_divided(spark):
     assert max(sizes.values()) < 1.1 * min(sizes.values())
 
 
+def test_groups_beside_huge_ones_stay_whole(spark):
+    rows = [(i, f"hot {i % 3} " * 20) for i in range(1800)] + [(2000 + i, f"group {i // 3} " * 3) for i in range(6000)]
+    shards = defaultdict(set)
+    for r in collected(spark, rows):
+        shards[r.text_crc32].add(r.shard)
+    assert all(len(shards[zlib.crc32(t.encode())]) == 1 for i, t in rows if i >= 2000)
+
+
+def test_huge_groups_of_one_id_or_none_are_divided(spark):
+    rows = [(None, "none " * 30)] * 1500 + [(7, "seven " * 30)] * 1500 + [(2000 + i, f"{i} " * 10) for i in range(500)]
+    got = collected(spark, rows)
+    shards, sizes = defaultdict(set), defaultdict(int)
+    for r in got:
+        shards[r.doc_id].add(r.shard)
+        sizes[r.shard] += r.size
+    assert len(got) == 3500 and len(shards[None]) > 1 and len(shards[7]) > 1
+    assert len(sizes) == 4 and max(sizes.values()) < 1.1 * min(sizes.values())
+
+
 def test_empty_table(spark):
     assert sharding.shards(spark.createDataFrame([], "doc_id long, text string")).collect() == []
