@@ -3,13 +3,14 @@
 Documents become token ids and pieces of at most `capacity`; the pieces are dealt into groups of bounded size, each
 packed by best-fit decreasing. Dual-feasible functions over a group's histogram of lengths bound its bins from below.
 A group whose bins exceed its bound has a gap: its bins that are not full are opened, their pieces are exchanged
-among all such groups by another deal, and packed again; the exchange is kept if it saves bins. Nothing is dropped:
-every token of every row is in one piece. Null and empty texts are the end token alone; repeated rows (also with one
+among all such groups by another deal, and packed again; the exchange is kept if it saves bins. Exchanges go on until
+one saves nothing or no group has a gap. Nothing is dropped: every token of every row is in one piece. Null and empty texts are the end token alone; repeated rows (also with one
 id) are packed each; an empty table gives no pieces.
 """
 
 from __future__ import annotations
 
+import logging
 import zlib
 
 import numpy as np
@@ -22,8 +23,8 @@ from . import bpe
 from .common import table, written
 
 CAPACITY, END = 1024, 2
-#: Pieces in a group, and exchanges at most.
-GROUP, ROUNDS = 25_000, 2
+#: Pieces in a group.
+GROUP = 25_000
 _COLUMNS = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
 
@@ -115,24 +116,34 @@ def _packed(rows: DataFrame, groups: int, first: int, capacity: int) -> DataFram
     return out.withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
-def pack(rows: DataFrame, capacity: int = CAPACITY, group: int = GROUP, rounds: int = ROUNDS) -> DataFrame:
-    """rows (as of pieces()) with sequence_id and offset."""
+def packed_with_gap(rows: DataFrame, capacity: int = CAPACITY, group: int = GROUP, rounds: int | None = None) -> tuple[DataFrame, int]:
+    """rows (as of pieces()) with sequence_id and offset, and the sum of the gaps left: sequences over the bounds of
+    the groups that were packed last. rounds: exchanges at most; None is as many as save sequences."""
     count = rows.count()
     groups = max(1, -(-count // group))
     kept = written(_packed(rows, groups, 0, capacity), "packed")
-    first = groups
-    for _ in range(rounds):
+    first, done = groups, 0
+    while True:
         loose = kept.where((F.col("gap") > 0) & (F.col("room") > 0))
         n, before = loose.agg(F.count("*"), F.count(F.when(F.col("offset") == 0, 1))).first()
-        if groups < 2 or not n:
+        if groups < 2 or not n or done == rounds:
             break
         again = max(1, -(-n // group))
         fresh = written(_packed(loose, again, first, capacity), "repacked")
         first += again
         if fresh.where("offset = 0").count() >= before:
             break
-        kept = kept.where((F.col("gap") <= 0) | (F.col("room") <= 0)).unionByName(fresh)
-    return kept.select(*_COLUMNS, "sequence_id", "offset")
+        kept, done = kept.where((F.col("gap") <= 0) | (F.col("room") <= 0)).unionByName(fresh), done + 1
+    # full sequences of opened groups have no room and count no more
+    gaps = loose.groupBy(F.shiftright("sequence_id", 32)).agg(F.max("gap").alias("gap")).agg(F.coalesce(F.sum("gap"), F.lit(0))).first()[0]
+    return kept.select(*_COLUMNS, "sequence_id", "offset"), gaps
+
+
+def pack(rows: DataFrame, capacity: int = CAPACITY, group: int = GROUP, rounds: int | None = None) -> DataFrame:
+    """rows (as of pieces()) with sequence_id and offset. The sum of the gaps left is logged."""
+    out, gaps = packed_with_gap(rows, capacity, group, rounds)
+    logging.getLogger(__name__).info("sum of gaps left: %d sequences", gaps)
+    return out
 
 
 def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END, id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -79,6 +79,18 @@ def test_packing_repeated_and_null_ids(spark):
     assert len(rows) == 4 and len({r.sequence_id for r in rows}) == 1
 
 
+def test_exchanges_go_on_while_they_save(spark):
+    lengths = np.random.default_rng(4).integers(20, 45, 3000).tolist()
+    rows = spark.createDataFrame([(i, 0, 0, x, 0, i * 7919) for i, x in enumerate(lengths)], "doc_id long, piece long, start long, length long, ids_crc32 long, deal long")
+    two = packing.pack(rows, 100, group=60, rounds=2).select("sequence_id").distinct().count()
+    out = packing.pack(rows, 100, group=60).collect()
+    assert sorted(r.doc_id for r in out) == list(range(3000))
+    assert len({r.sequence_id for r in out}) < two
+    more, gaps = packing.packed_with_gap(rows, 100, group=60)
+    fewer, gaps_before = packing.packed_with_gap(rows, 100, group=60, rounds=0)
+    assert 0 <= gaps < gaps_before and more.count() == fewer.count() == 3000
+
+
 def test_bound_never_exceeds_the_best(spark):
     rng = np.random.default_rng(1)
     for _ in range(200):
