@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from strandex.llm import mixing, ngram_join, packing, toxicity
 from strandex.llm.common import table, written
@@ -22,9 +23,10 @@ def no_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """No document is lost: the budget is the smallest that takes each once, and small sources come up to twice."""
+    """No document is lost: the budget is the smallest that takes each once, and small sources come up to twice. Rows
+    stand in the order of epochs and their permuted blocks; within a block, in a pseudo-random one."""
     rows, _ = mixing.mixture(docs, entropy=0.95, repetition=2.0)
-    return rows.select("row.*")
+    return rows.orderBy("epoch", "turn", F.xxhash64("row.doc_id", "row.text")).select("row.*")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

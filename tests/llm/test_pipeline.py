@@ -58,3 +58,17 @@ def test_stages_keep_what_they_should(stages):
 
 def test_run_is_its_stages(spark, stages):
     assert P.run(spark, SF).count() == len(stages["packing"])
+
+
+def test_mixed_rows_stand_in_order_of_epoch_and_turn(spark):
+    docs = spark.createDataFrame([(i, f"text {i} " * (i % 7 + 1), "en", "ab"[i % 10 == 0], 1) for i in range(400)], "doc_id long, text string, lang string, source string, n_chars long")
+    rows, _ = P.mixing.mixture(docs, entropy=0.95, repetition=2.0)
+    turns = {}
+    for r in rows.collect():
+        turns.setdefault(r.row.doc_id, []).append((r.epoch, r.turn))
+    assert len({t for own in turns.values() for t in own}) > 2
+    at = []
+    for r in P.mixed(spark, docs, SF).collect():  # copies of a row come in order of epoch
+        turns[r.doc_id].sort()
+        at.append(turns[r.doc_id].pop(0))
+    assert at == sorted(at) and not any(turns.values())
