@@ -1,13 +1,11 @@
-"""Queries that go through files: FASTA is made of the driver's tables, indexed, and looked up again."""
+"""Queries that go through files: FASTA is made of the driver's tables by tasks, indexed, and looked up again."""
 
 from __future__ import annotations
 
-import os
-import shutil
 import struct
-import tempfile
-import zlib
+import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,74 +13,69 @@ from .operators import fetch, lookup
 from .plans import build as B
 from .queries import DOCUMENTS, documents
 from .session import SeqIndex
+from .sources import files
+from .sources.bgzf import walk
+from .storage import filesystem, shared_dir
 
-EOF_BLOCK = bytes.fromhex("1f8b08040000000000ff0600424302001b0003000000000000000000")
 
-
-def bgzf_block(data: bytes) -> bytes:
-    c = zlib.compressobj(6, zlib.DEFLATED, -15)
-    body = c.compress(data) + c.flush()
-    head = b"\x1f\x8b\x08\x04\0\0\0\0\0\xff" + struct.pack("<H", 6) + b"BC" + struct.pack("<HH", 2, 18 + len(body) + 8 - 1)
-    return head + body + struct.pack("<II", zlib.crc32(data), len(data))
-
-
-def bgzf(data: bytes, size: int = 60_000) -> bytes:
-    return b"".join(bgzf_block(data[i : i + size]) for i in range(0, len(data), size)) + EOF_BLOCK
-
-
-def _folder() -> str:
-    path = tempfile.mkdtemp(prefix="strandex-files-")
-    import atexit
-
-    atexit.register(shutil.rmtree, path, True)
+def _folder(spark: SparkSession) -> str:
+    path = f"{shared_dir(spark)}/files-{uuid.uuid4().hex}"
+    fs, where = filesystem(spark, path)
+    fs.deleteOnExit(where)
     return path
 
 
-def _file(spark: SparkSession, d: str, blocked: bool) -> str:
-    """The documents' sequences as one FASTA file, written record by record in order of doc_id."""
+def _written(spark: SparkSession, d: str, blocked: bool, parts: int | None = None) -> str:
+    """A folder of FASTA files of the documents' sequences in order of doc_id. Documents without letters have no
+    sequence, which FASTA doesn't allow, so they are no records."""
     rows = documents(spark, d).where(F.length("sequence") > 0).select(F.concat("full_id", F.lit(" document")).alias("header"), F.col("sequence").cast("binary").alias("sequence"), F.col("input_ordinal").alias("out_pos"))
-    path = os.path.join(_folder(), "documents.fa")
-    fetch.write_fasta(rows, path)
-    if blocked:
-        with open(path, "rb") as f:
-            data = f.read()
-        path += ".gz"
-        with open(path, "wb") as f:
-            f.write(bgzf(data))
+    path = f"{_folder(spark)}/documents"
+    fetch.write_fasta_parts(rows, path, parts=parts, compression="bgzf" if blocked else "none")
     return path
 
 
 def roundtrip(blocked: bool):
     def run(spark: SparkSession, d: str) -> DataFrame:
-        path = _file(spark, d, blocked)
-        B.build_index(spark, path, split_bytes=1 << 18)
-        index = SeqIndex.open(spark, f"{path}.seqidx")
-        found = index.fetch(None, pattern="", by_offset=True)
+        path = _written(spark, d, blocked)
+        B.write_index(B.read_fasta(spark, path, split_bytes=1 << 22), f"{path}.seqidx")
+        found = SeqIndex.open(spark, f"{path}.seqidx").fetch(None, pattern="", by_offset=True)
         return found.select("full_id", "header", "sequence_length", "line_bases", F.col("sequence").cast("string").alias("sequence"))
 
     return run
 
 
+def write_fai(spark: SparkSession, fasta: str, out: str) -> None:
+    """FAI and GZI files of one blocked file, at out.fai (a folder) and out.gzi. The GZI is written by a task, the FAI
+    by Spark, in order: offsets of blocks come from a floor lookup of their addresses."""
+
+    def blocks(batches):
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                at, entries = 0, []
+                for address, _, size in walk(path):
+                    entries.append((address, at))
+                    at += size
+                with files.create(out + ".gzi") as f:
+                    f.write(struct.pack("<Q", len(entries[1:])) + b"".join(struct.pack("<QQ", *e) for e in entries[1:]))
+                yield pa.RecordBatch.from_arrays([pa.array([len(entries)], pa.int64())], ["n"])
+
+    spark.createDataFrame([(fasta,)], "path string").mapInArrow(blocks, "n long").collect()
+    address = F.shiftrightunsigned("virtual_offset", 16)
+    rows = B.read_fasta(spark, fasta).withColumn("address", address)
+    rows = B.floor_lookup(rows, "address", B.read_gzi(spark, out + ".gzi"), "compressed", "uncompressed")
+    raw = F.coalesce("uncompressed", F.lit(0)) + F.col("virtual_offset").bitwiseAND(65535)
+    line = F.concat_ws("\t", "full_id", "sequence_length", raw, "line_bases", "line_width")
+    rows.select("input_ordinal", line.alias("value")).repartitionByRange("input_ordinal").sortWithinPartitions("input_ordinal").select("value").write.text(out + ".fai")
+
+
 def fai_build(spark: SparkSession, d: str) -> DataFrame:
-    """An index from FAI and GZI files of the blocked file, looked up by prefix, sequences read at its offsets."""
-    path = _file(spark, d, True)
-    rows = B.read_fasta(spark, path).orderBy("input_ordinal").collect()
-    from .sources.bgzf import walk
-
-    at, blocks = 0, []
-    for address, _, size in walk(path):
-        blocks.append((address, at))
-        at += size
-    starts = dict(blocks)
-    with open(path + ".fai", "w") as f:
-        for r in rows:
-            f.write(f"{r.full_id}\t{r.sequence_length}\t{starts[r.virtual_offset >> 16] + (r.virtual_offset & 65535)}\t{r.line_bases}\t{r.line_width}\n")
-    entries = [b for b in blocks if b[0]]
-    with open(path + ".gzi", "wb") as f:
-        f.write(struct.pack("<Q", len(entries)) + b"".join(struct.pack("<QQ", *b) for b in entries))
-    B.build_index_from_fai(spark, path + ".fai", path + ".gzi", fasta=path)
-    index = SeqIndex.open(spark, f"{path}.seqidx")
-    found = index.fetch(lookup.query_list(spark, ["en|", "de|src1"]), mode="prefix")
+    """An index from FAI and GZI files of one blocked file (a FAI describes one), looked up by prefix, sequences read at
+    its offsets."""
+    (path,) = files.listed(_written(spark, d, True, 1))
+    out = f"{_folder(spark)}/documents"
+    write_fai(spark, path, out)
+    B.write_index(B.fai_records(spark, out + ".fai", out + ".gzi", path), f"{out}.seqidx")
+    found = SeqIndex.open(spark, f"{out}.seqidx").fetch(lookup.query_list(spark, ["en|", "de|src1"]), mode="prefix")
     return found.select("full_id", "header", "sequence_length", F.col("sequence").cast("string").alias("sequence"))
 
 

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import wrapped
-from ..sources.bgzf import PlainFile, read_from_block
+from ..sources import files
+from ..sources.bgzf import open_file
+from ..sources.fasta import WRAP, FastaSource, record_bytes
 
-WRAP = 60
+#: Stored bytes of a file, as a power of two, whose rows are read by one task: of offsets in plain and in blocked files.
+PLAIN_BITS, BLOCKED_BITS = 24, 22 + 16
+#: Bytes of sequences in a batch at most (or one longer sequence).
+BATCH_BYTES = 1 << 24
 
 
 def read_sequence(chunks: Iterator[bytes], length: int, bases: int, width: int) -> bytes:
@@ -32,30 +36,43 @@ def read_sequence(chunks: Iterator[bytes], length: int, bases: int, width: int)
     return raw if not gap else b"".join(raw[i : i + bases] for i in range(0, len(raw), width))
 
 
+def ranged(rows: DataFrame) -> DataFrame:
+    """rows dealt to tasks by file and range of stored bytes, in order of offsets."""
+    bits = F.when(F.col("file_format") == "bgzf", BLOCKED_BITS).otherwise(PLAIN_BITS)
+    place = F.floor(F.col("virtual_offset") / F.pow(F.lit(2.0), bits))
+    return rows.repartition("source_file", place).sortWithinPartitions("source_file", "virtual_offset")
+
+
 def sequences(rows: DataFrame) -> DataFrame:
     """rows (of an index, with any other columns) with the column sequence. Rows are dealt to tasks by file and range
     of offsets and read in order of offsets, whatever order they are wanted in."""
     columns = rows.columns
-    dealt = rows.repartition("source_file", F.shiftrightunsigned("virtual_offset", 36)).sortWithinPartitions("source_file", "virtual_offset")
     at = {c: columns.index(c) for c in ("source_file", "file_format", "virtual_offset", "sequence_length", "line_bases", "line_width")}
 
     def fetch(batches):
-        files: dict[str, PlainFile] = {}
+        opened: dict = {}
         for batch in batches:
-            found = []
-            for path, kind, offset, length, bases, width in zip(*(batch.column(i).to_pylist() for i in at.values()), strict=True):
-                path = path.removeprefix("file://")
-                if path not in files:
-                    for f in files.values():
+            found, held, low = [], 0, 0
+
+            def out(high: int) -> pa.RecordBatch:
+                part = batch.slice(low, high - low)  # noqa: B023
+                return pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.binary())], [*columns, "sequence"])  # noqa: B023
+
+            for i, (path, kind, offset, length, bases, width) in enumerate(zip(*(batch.column(i).to_pylist() for i in at.values()), strict=True)):
+                if found and held + length > BATCH_BYTES:
+                    yield out(i)
+                    found, held, low = [], 0, i
+                if path not in opened:
+                    for f in opened.values():
                         f.file.close()
-                    files = {path: PlainFile(path)}
-                file = files[path]
-                chunks = read_from_block(file.file, offset, file.size) if kind == "bgzf" else file.read(offset)
-                found.append(read_sequence(chunks, length, bases, width))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.binary())], [*columns, "sequence"])
+                    opened = {path: open_file(path, kind)}
+                found.append(read_sequence(opened[path].read(offset), length, bases, width))
+                held += length
+            if found:
+                yield out(batch.num_rows)
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return dealt.mapInArrow(fetch, f"{kinds}, sequence binary")
+    return ranged(rows).mapInArrow(fetch, f"{kinds}, sequence binary")
 
 
 def fasta_text(rows: DataFrame) -> DataFrame:
@@ -64,18 +81,25 @@ def fasta_text(rows: DataFrame) -> DataFrame:
     return rows.withColumn("record", F.concat(F.lit(">"), F.col("header"), F.lit("\n"), F.when(F.octet_length("sequence") > 0, F.concat(body, F.lit("\n"))).otherwise("")))
 
 
-def record_bytes(header: str, sequence: bytes) -> bytes:
-    """One record as it is written: any bytes, lines of 60."""
-    lines = b"".join(sequence[i : i + WRAP] + b"\n" for i in range(0, len(sequence), WRAP))
-    return b">" + header.encode() + b"\n" + lines
+def register_fasta(spark: SparkSession) -> None:
+    spark.dataSource.register(FastaSource)
+
+
+def write_fasta_parts(rows: DataFrame, path: str, order: str = "out_pos", parts: int | None = None, compression: str = "none", mode: str = "overwrite") -> None:
+    """rows (header, sequence and an order column) as a folder of FASTA files, written by tasks: their names' order, and
+    the order in each, is that of the rows."""
+    register_fasta(rows.sparkSession)
+    parts = parts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartitionByRange(parts, order).sortWithinPartitions(order)
+    dealt.select("header", "sequence").write.format("fasta").option("compression", compression).mode(mode).save(path)
 
 
 def write_fasta(rows: DataFrame, path: str, order: str = "out_pos") -> int:
     """rows (header, sequence and an order column) to one file; a row at a time passes through the driver."""
     n, temporary = 0, f"{path}.part"
-    with open(temporary, "wb") as f:
+    with files.create(temporary) as f:
         for r in rows.orderBy(order).select("header", "sequence").toLocalIterator():
             f.write(record_bytes(r.header, bytes(r.sequence)))
             n += 1
-    os.replace(temporary, path)
+    files.move(temporary, path)
     return n

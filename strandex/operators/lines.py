@@ -1,4 +1,4 @@
-"""Records from a table of lines, and floor lookups, as DataFrame operations."""
+"""Records from a table of lines, as DataFrame operations."""
 
 from __future__ import annotations
 
@@ -20,25 +20,3 @@ def layouts(sessions_: DataFrame, is_header: Column, partition: str, order: str,
     marked = content.withColumn("first_width", F.first(width).over(whole)).withColumn("is_last", F.lead(order).over(w).isNull())
     odd = ~F.col("is_last") & (F.col(width) != F.col("first_width"))
     return marked.groupBy(partition, "record_no").agg(F.count("*").alias("lines"), F.first("first_width").cast("long").alias("first_width"), F.sum(width).cast("long").alias("sequence_length"), F.sum(odd.cast("int")).cast("long").alias("violations"))
-
-
-def floor_lookup(probes: DataFrame, probe: str, table: DataFrame, key: str, value: str, buckets: int = 1, bucket_size: int | None = None) -> DataFrame:
-    """probes with the value of the last table row whose key is at or below the probe; null below the first.
-
-    With bucket_size, keys and probes are cut into that wide buckets, worked on in parallel; each bucket also gets the
-    last row of the buckets before it, so that gaps are crossed."""
-    size = bucket_size or (1 << 62)
-    own = table.select(F.col(key).alias("k"), F.col(value).alias("v")).withColumn("b", F.floor(F.col("k") / size))
-    asked = probes.withColumn("k", F.col(probe)).withColumn("b", F.floor(F.col("k") / size))
-    last = own.groupBy("b").agg(F.max_by(F.struct("k", "v"), "k").alias("last"))
-    wanted = asked.select("b").distinct()
-    every = last.join(wanted, "b", "full")
-    before = every.select("b", F.last("last", True).over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)).alias("carry"))
-    before = before.select("b", "carry.*").where("v is not null")
-    rows = own.select("b", "k", "v").unionByName(before.select("b", "k", "v"))
-    w = Window.partitionBy("b").orderBy("k", "asked").rowsBetween(Window.unboundedPreceding, 0)
-    columns = probes.columns
-    union = rows.select("b", "k", "v", F.lit(0).alias("asked"), F.lit(None).cast(probes.select(F.struct(*columns).alias("r")).schema["r"].dataType).alias("r"))
-    union = union.unionByName(asked.select("b", "k", F.lit(None).cast(own.schema["v"].dataType).alias("v"), F.lit(1).alias("asked"), F.struct(*columns).alias("r")))
-    found = union.withColumn("found", F.last("v", True).over(w)).withColumn("found_key", F.last(F.when(F.col("asked") == 0, F.col("k")), True).over(w))
-    return found.where("asked = 1").select("r.*", F.col("found").alias(value), F.col("found_key").alias(key))

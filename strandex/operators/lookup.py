@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.regex import to_java
+from ..functions.regex import compiled
 from ..functions.text import has_description, normalize_query, primary_id
-from ..storage import written
+from .ordered import numbered
 
-#: Queries whose table is broadcast at most; above, catalog and queries meet by a shuffle on the ID.
-BROADCAST_QUERIES = 1_000_000
-#: IDs up to which a lookup is a literal filter that Parquet can push down.
+#: Queries, and their bytes, whose table is broadcast at most; above, catalog and queries meet by a shuffle on the ID.
+BROADCAST_QUERIES, BROADCAST_BYTES = 1_000_000, 1 << 26
+#: IDs or prefixes up to which a lookup is a literal filter that Parquet can push down.
 LITERAL_IDS = 10
 
 
@@ -27,7 +27,8 @@ def prepared(queries: DataFrame) -> DataFrame:
 
 
 def _side(q: DataFrame) -> DataFrame:
-    return F.broadcast(q) if q.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES else q
+    n, size = q.select(F.octet_length("query").alias("size")).limit(BROADCAST_QUERIES + 1).agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    return F.broadcast(q) if n <= BROADCAST_QUERIES and size <= BROADCAST_BYTES else q
 
 
 def exact(catalog: DataFrame, queries: DataFrame) -> DataFrame:
@@ -42,24 +43,34 @@ def exact(catalog: DataFrame, queries: DataFrame) -> DataFrame:
 
 def prefix(catalog: DataFrame, queries: DataFrame) -> DataFrame:
     """q_ord and the records whose ID starts with the query; a query with a description needs its exact ID and a
-    header that starts with the query. A hash join for each length of query, so that no pairs are tried."""
-    q = prepared(queries)
-    lengths = [r.n for r in q.where(~F.col("has_desc")).select(F.length("query").alias("n")).distinct().collect()]
-    parts = []
-    for n in sorted(lengths):
-        own = q.where(~F.col("has_desc") & (F.length("query") == n)).select("q_ord", F.col("query").alias("start"))
-        parts.append(catalog.where(F.length("full_id") >= n).join(_side(own), F.substring("full_id", 1, n) == F.col("start")).select("q_ord", *catalog.columns))
-    named = q.where("has_desc").select("q_ord", "query", "query_id")
-    parts.append(catalog.join(_side(named), F.col("full_id") == F.col("query_id")).where(F.col("header").startswith(F.col("query"))).select("q_ord", *catalog.columns))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    header that starts with the query.
+
+    One scan and one hash join, whatever the queries: a record offers its ID cut to each length that queries have, and
+    its whole ID for those with a description. Few queries are pushed to the scan as StartsWith and EqualTo."""
+    q = prepared(queries).withColumn("n", F.when(F.col("has_desc"), -1).otherwise(F.length("query")))
+    q = q.withColumn("start", F.when(F.col("has_desc"), F.col("query_id")).otherwise(F.col("query")))
+    few = q.select("n", "start").distinct().limit(LITERAL_IDS + 1).collect()
+    if not few:
+        return catalog.where(F.lit(False)).select(F.lit(0).cast("long").alias("q_ord"), *catalog.columns)
+    if len(few) <= LITERAL_IDS:
+        id_, any_ = F.col("full_id"), F.lit(False)
+        for r in few:
+            any_ = any_ | (id_ == r.start if r.n < 0 else id_.startswith(r.start))
+        catalog, lengths = catalog.where(any_), sorted({r.n for r in few})
+    else:
+        lengths = sorted(r.n for r in q.select("n").distinct().collect())
+    offers = [F.struct(F.lit(n).alias("n"), (F.col("full_id") if n < 0 else F.substring("full_id", 1, n)).alias("start")) for n in lengths]
+    fitting = F.filter(F.array(*offers), lambda x: (x["n"] < 0) | (x["n"] <= F.length("full_id")))
+    cut = catalog.select(F.struct(*(F.col(f"`{c}`") for c in catalog.columns)).alias("record"), F.explode(fitting).alias("offer"))
+    own = _side(q.select("q_ord", "query", F.col("n").alias("n_"), F.col("start").alias("start_")))
+    hit = cut.join(own, (F.col("offer.n") == F.col("n_")) & (F.col("offer.start") == F.col("start_")))
+    hit = hit.where((F.col("n_") > 0) | F.col("record.header").startswith(F.col("query")))
+    return hit.select("q_ord", "record.*")
 
 
 def regex(catalog: DataFrame, pattern: str, invert: bool = False) -> DataFrame:
-    """Records whose header has (invert: hasn't) a match anywhere."""
-    hit: Column = F.col("header").rlike(to_java(pattern))
+    """Records whose header has (invert: hasn't) a match anywhere. A pattern that isn't valid is an error at once."""
+    hit: Column = F.col("header").rlike(compiled(catalog.sparkSession, pattern))
     return catalog.where(~hit if invert else hit)
 
 
@@ -80,16 +91,3 @@ def combined(matches: DataFrame | None, hits: DataFrame | None, by_offset: bool
     first = both.withColumn("nth", F.row_number().over(Window.partitionBy("record_id").orderBy("source_rank", "q_ord"))).where("nth = 1")
     order = ["virtual_offset", "source_rank", "q_ord", "record_id"] if by_offset else ["source_rank", "q_ord", "record_id"]
     return numbered(first, order, "out_pos").drop("nth", "source_rank", "q_ord")
-
-
-def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
-    """df with dense numbers from 0 in the order given, without a window over all rows in one task: rows are
-    partitioned by range and written (another sample would draw other ranges), ranges are counted, and each counts on
-    from those before it."""
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = written(df.repartitionByRange(parts, *order).withColumn("range_", F.spark_partition_id()), "ranges")
-    sizes = ranged.groupBy("range_").count()
-    before = sizes.select(F.col("range_").alias("own_"), (F.sum("count").over(Window.orderBy("range_")) - F.col("count")).alias("before_"))
-    within = F.row_number().over(Window.partitionBy("range_").orderBy(*order)) - 1
-    out = ranged.withColumn("within_", within).join(F.broadcast(before), F.col("range_") == F.col("own_"))
-    return out.withColumn(name, (F.col("before_") + F.col("within_")).cast("long")).drop("range_", "own_", "within_", "before_")

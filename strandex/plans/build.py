@@ -4,22 +4,25 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import virtual_offset
-from ..operators.lines import floor_lookup
-from ..operators.lookup import numbered
+from ..operators.fetch import register_fasta
+from ..operators.ordered import floor_lookup, is_sorted, numbered, numbered_ranges, placed
 from ..schemas import INDEX_COLUMNS
-from ..sources.fasta import FastaSource
 from ..sources.indexes import read_fai, read_gzi
+from ..storage import dropped, filesystem, written
+
+__all__ = ["build_index", "build_index_from_fai", "directory", "fai_records", "is_sorted", "read_fasta", "sorted_index", "stats", "valid", "write_index"]
 
 #: Rows in a block (Parquet row group) of the index.
 BLOCK_ROWS = 4096
+ORDER = ["full_id", "source_file", "input_ordinal"]
 
 
 def read_fasta(spark: SparkSession, path: str, with_sequence: bool = False, split_bytes: int | None = None) -> DataFrame:
-    spark.dataSource.register(FastaSource)
+    register_fasta(spark)
     reader = spark.read.format("fasta").option("withSequence", with_sequence)
     return (reader.option("splitBytes", split_bytes) if split_bytes else reader).load(path)
 
@@ -38,32 +41,35 @@ def valid(rows: DataFrame) -> DataFrame:
 
 def sorted_index(rows: DataFrame) -> DataFrame:
     """rows with record_id: dense in byte order of the ID, then in input order."""
-    return numbered(valid(rows), ["full_id", "source_file", "input_ordinal"], "record_id").select(*INDEX_COLUMNS)
-
-
-def is_sorted(rows: DataFrame, id: str = "full_id", order: str = "input_ordinal") -> DataFrame:
-    """descents: how many rows have a smaller ID than the row before."""
-    before = F.lag(id).over(Window.orderBy(order))
-    return rows.withColumn("before", before).agg(F.sum(F.when(F.col("before") > F.col(id), 1).otherwise(0)).cast("long").alias("descents"))
-
-
-def _filesystem(spark: SparkSession, path: str):
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+    return numbered(valid(rows), ORDER, "record_id").select(*INDEX_COLUMNS)
 
 
 def write_index(rows: DataFrame, out: str) -> None:
-    """The index of rows at `out`: written beside it, then moved there at once; a failed write leaves nothing."""
+    """The index of rows at `out`. It is written and checked beside it, then an older index moves aside, the new one
+    moves in, and the older one goes; a failed write leaves the older one as it was."""
     spark = rows.sparkSession
-    temporary = f"{out}.{uuid.uuid4().hex}.tmp"
-    fs, source = _filesystem(spark, temporary)
-    _, target = _filesystem(spark, out)
+    name = uuid.uuid4().hex
+    temporary, aside = f"{out}.{name}.tmp", f"{out}.{name}.old"
+    fs, source = filesystem(spark, temporary)
+    (_, target), (_, old) = filesystem(spark, out), filesystem(spark, aside)
     try:
-        writer = sorted_index(rows).sortWithinPartitions("record_id").write
+        # written first, so that the source is read once: ranges are drawn from a sample of their own
+        scanned = written(valid(rows), "scanned")
+        ranges = placed(scanned, ORDER)
+        writer = numbered_ranges(ranges, "record_id").select(*INDEX_COLUMNS).sortWithinPartitions("record_id").write
         writer.option("parquet.block.row.count.limit", str(BLOCK_ROWS)).option("parquet.writer.version", "v2").option("compression", "zstd").parquet(temporary)
-        fs.delete(target, True)
+        found, stored = scanned.count(), spark.read.parquet(temporary).count()
+        if found != stored:
+            raise RuntimeError(f"{found} records were scanned, the index has {stored}")
+        dropped(scanned, ranges)
+        had = fs.exists(target)
+        if had and not fs.rename(target, old):
+            raise OSError(f"can't move the old index at {out} aside")
         if not fs.rename(source, target):
+            if had:
+                fs.rename(old, target)
             raise OSError(f"can't move the index to {out}")
+        fs.delete(old, True)
     finally:
         fs.delete(source, True)
 
@@ -90,16 +96,23 @@ def build_index_from_fai(spark: SparkSession, fai: str, gzi: str, out: str | Non
 
 
 def directory(index: DataFrame, rows: int = BLOCK_ROWS) -> DataFrame:
-    """block, first_record_id, record_count, last_id of blocks of so many rows."""
+    """block, first_record_id, record_count, first_id, last_id of blocks of so many rows; one aggregate."""
     blocks = index.withColumn("block", F.floor(F.col("record_id") / rows).cast("long"))
-    return blocks.groupBy("block").agg(F.min("record_id").alias("first_record_id"), F.count("*").alias("record_count"), F.max("full_id").alias("last_id"))
+    return blocks.groupBy("block").agg(F.min("record_id").alias("first_record_id"), F.count("*").alias("record_count"), F.min("full_id").alias("first_id"), F.max("full_id").alias("last_id"))
+
+
+def raw_bytes() -> Column:
+    """Bytes of a row's columns as they are before encoding and compression."""
+    texts = sum((F.octet_length(c) for c in ("source_file", "file_format", "full_id", "header")), F.lit(0))
+    return texts + 8 * (len(INDEX_COLUMNS) - 4)
 
 
 def stats(spark: SparkSession, path: str) -> DataFrame:
-    """record_count, block_count, raw_block_bytes, file_size, ratio (0 for an empty index)."""
+    """record_count, block_count, raw_block_bytes, file_size, ratio of file_size to raw_block_bytes (0 for an empty
+    index)."""
     index = spark.read.parquet(path)
-    size = _filesystem(spark, path)[0].getContentSummary(_filesystem(spark, path)[1]).getLength()
-    raw = F.octet_length("full_id") + F.octet_length("header") - F.octet_length("full_id") + 32
-    files = index.groupBy(F.input_file_name().alias("file")).agg(F.count("*").alias("n"), F.sum(raw).alias("raw"))
-    total = files.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("record_count"), F.coalesce(F.sum(F.ceil(F.col("n") / BLOCK_ROWS)), F.lit(0)).cast("long").alias("block_count"), F.coalesce(F.sum("raw"), F.lit(0)).cast("long").alias("raw_block_bytes"))
+    fs, where = filesystem(spark, path)
+    size = fs.getContentSummary(where).getLength()
+    per_file = index.groupBy(F.input_file_name().alias("file")).agg(F.count("*").alias("n"), F.sum(raw_bytes()).alias("raw"))
+    total = per_file.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("record_count"), F.coalesce(F.sum(F.ceil(F.col("n") / BLOCK_ROWS)), F.lit(0)).cast("long").alias("block_count"), F.coalesce(F.sum("raw"), F.lit(0)).cast("long").alias("raw_block_bytes"))
     return total.withColumn("file_size", F.lit(size).cast("long")).withColumn("ratio", F.when(F.col("raw_block_bytes") > 0, F.col("file_size") / F.col("raw_block_bytes")).otherwise(0.0))

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import text as T
 from .operators import lines as L
 from .operators import lookup as K
+from .operators import ordered as O
 from .plans import build as B
+from .storage import filesystem, shared_dir
 
 CATALOG = "SELECT p_brand AS full_id, p_brand || ' ' || p_name || ' [' || p_type || ']' AS header, p_partkey AS input_ordinal, p_partkey * 128 AS virtual_offset FROM part"
 RECORDS = f"SELECT *, row_number() OVER (ORDER BY full_id, input_ordinal) - 1 AS record_id FROM ({CATALOG})"
@@ -27,7 +31,7 @@ def catalog(spark: SparkSession, d: str) -> DataFrame:
 
 
 def records(spark: SparkSession, d: str) -> DataFrame:
-    return K.numbered(catalog(spark, d), ["full_id", "input_ordinal"], "record_id")
+    return O.numbered(catalog(spark, d), ["full_id", "input_ordinal"], "record_id")
 
 
 def documents(spark: SparkSession, d: str) -> DataFrame:
@@ -39,11 +43,11 @@ DOCUMENTS = "SELECT lang || '|' || source || '|' || doc_id AS full_id, doc_id AS
 
 
 def _exact(queries: list[str]):
-    return lambda s, d: K.exact(records(s, d), K.query_list(s, queries)).select("q_ord", *SHOWN)
+    return lambda s, d: K.exact(catalog(s, d), K.query_list(s, queries)).select("q_ord", *SHOWN)
 
 
 def _prefix(queries: list[str]):
-    return lambda s, d: K.prefix(records(s, d), K.query_list(s, queries)).select("q_ord", *SHOWN)
+    return lambda s, d: K.prefix(catalog(s, d), K.query_list(s, queries)).select("q_ord", *SHOWN)
 
 
 def _regex(pattern: str, invert: bool = False):
@@ -63,7 +67,7 @@ def unique_ids(spark: SparkSession, d: str) -> DataFrame:
 
 def missing_ids(spark: SparkSession, d: str) -> DataFrame:
     q = K.query_list(spark, REQUEST)
-    return K.missing(q, K.exact(records(spark, d), q))
+    return K.missing(q, K.exact(catalog(spark, d), q))
 
 
 def missing_count(spark: SparkSession, d: str) -> DataFrame:
@@ -98,19 +102,22 @@ def suffixes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def block_directory(spark: SparkSession, d: str) -> DataFrame:
-    return B.directory(records(spark, d), 128)
+    return B.directory(records(spark, d), 128).drop("first_id")
 
 
 def index_stats(spark: SparkSession, d: str) -> DataFrame:
-    blocks = block_directory(spark, d)
-    return blocks.agg(F.sum("record_count").cast("long").alias("record_count"), F.count("*").alias("block_count"))
+    """An index of the catalog is written, and its report made: blocks depend on the files, bytes and records don't."""
+    layout = {"source_file": F.lit("part"), "file_format": F.lit("plain"), "sequence_length": F.col("input_ordinal") + 1, "line_bases": F.lit(60).cast("long"), "line_width": F.lit(61).cast("long")}
+    path = f"{shared_dir(spark)}/catalog-{uuid.uuid4().hex}.seqidx"
+    B.write_index(catalog(spark, d).withColumns(layout), path)
+    fs, where = filesystem(spark, path)
+    fs.deleteOnExit(where)
+    return B.stats(spark, path).select("record_count", "raw_block_bytes", (F.col("ratio") > 0).alias("is_stored"))
 
 
 def block_skip(spark: SparkSession, d: str) -> DataFrame:
-    """Blocks that may hold an ID: from the first whose largest ID is at or above it."""
-    w = B.directory(records(spark, d), 128)
-    first = records(spark, d).withColumn("block", F.floor(F.col("record_id") / 128).cast("long")).groupBy("block").agg(F.min("full_id").alias("first_id"))
-    return w.join(first, "block").where((F.col("first_id") <= "Brand#17") & (F.col("last_id") >= "Brand#17")).select("block", "first_record_id", "record_count", "last_id")
+    """Blocks that may hold an ID: those whose least and largest IDs enclose it."""
+    return B.directory(records(spark, d), 128).where((F.col("first_id") <= "Brand#17") & (F.col("last_id") >= "Brand#17")).drop("first_id")
 
 
 def _turns(spark: SparkSession, d: str) -> DataFrame:
@@ -118,6 +125,13 @@ def _turns(spark: SparkSession, d: str) -> DataFrame:
     return L.sessions(t, F.col("role") == "user", "conv_id", "turn")
 
 
+def _wrapped_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Headers and lines of names; every seventh record has a short line before its last, one longer than the others."""
+    p = _t(spark, d, "part").select("p_partkey", F.concat("p_name", "p_name", "p_type").alias("s"))
+    cut = F.array(F.lit(">"), F.substring("s", 1, 8), F.when(F.col("p_partkey") % 7 == 0, F.substring("s", 9, 5)).otherwise(F.substring("s", 9, 8)), F.substring("s", 17, 8), F.lit("end"))
+    return p.select((F.col("p_partkey") % 100).alias("part"), F.col("p_partkey"), F.posexplode(cut).alias("i", "line")).select("part", (F.col("p_partkey") * 8 + F.col("i")).alias("n"), "line", F.octet_length("line").cast("long").alias("width"))
+
+
 def line_records(spark: SparkSession, d: str) -> DataFrame:
     return _turns(spark, d).groupBy("conv_id", "record_no").agg(F.sum("width").cast("long").alias("width"), F.count("*").alias("lines"))
 
@@ -127,7 +141,19 @@ def line_layouts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def violations(spark: SparkSession, d: str) -> DataFrame:
-    return line_layouts(spark, d).where("violations > 0").select("conv_id", "record_no", "violations")
+    """Records with lines before the last that differ from the first."""
+    is_header = F.col("line") == ">"
+    found = L.layouts(L.sessions(_wrapped_lines(spark, d), is_header, "part", "n"), is_header, "part", "n", "width")
+    return found.where("violations > 0").select("part", "record_no", "first_width", "violations")
+
+
+_VIOLATIONS = """WITH p AS (SELECT p_partkey, p_name || p_name || p_type AS s FROM part),
+    l AS (SELECT p_partkey % 100 AS part, p_partkey, unnest([1, 2, 3]) AS i, s FROM p),
+    w AS (SELECT part, p_partkey, i, strlen(CASE WHEN i = 2 AND p_partkey % 7 = 0 THEN substr(s, 9, 5) ELSE substr(s, 8 * i - 7, 8) END) AS width FROM l),
+    r AS (SELECT part, p_partkey, max(CASE WHEN i = 1 THEN width END) AS first_width FROM w GROUP BY 1, 2),
+    o AS (SELECT part, p_partkey, row_number() OVER (PARTITION BY part ORDER BY p_partkey) AS record_no, first_width FROM r)
+    SELECT o.part, o.record_no, o.first_width::BIGINT AS first_width, count(*) AS violations FROM w JOIN o USING (part, p_partkey)
+    WHERE w.width <> o.first_width GROUP BY 1, 2, 3"""
 
 
 _SESSIONS = """SELECT conv_id, turn, role, strlen(text) AS width, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id
@@ -149,27 +175,18 @@ def offsets(spark: SparkSession, d: str) -> DataFrame:
 
 
 def floor_offsets(spark: SparkSession, d: str) -> DataFrame:
-    doc = _t(spark, d, "documents")
-    own = doc.select("doc_id", F.octet_length("text").cast("long").alias("size"))
-    starts = own.select(F.col("doc_id").alias("block"), F.coalesce(F.sum("size").over(_before()), F.lit(0)).cast("long").alias("start"))
+    own = _t(spark, d, "documents").select(F.col("doc_id").alias("block"), F.octet_length("text").cast("long").alias("size"))
+    starts = O.running(own, ["block"], "size", "start")
     probes = _t(spark, d, "orders").select("o_orderkey", (F.col("o_orderkey") * 9973 % 500000).alias("probe"))
-    found = L.floor_lookup(probes, "probe", starts, "start", "block", bucket_size=1 << 16)
+    found = O.floor_lookup(probes, "probe", starts, "start", "block")
     return found.select("o_orderkey", "probe", "block", "start", (F.col("probe") - F.col("start")).alias("within"))
 
 
-def _before():
-    from pyspark.sql import Window
-
-    return Window.orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
-
-
 def wrapped(spark: SparkSession, d: str) -> DataFrame:
     return documents(spark, d).select("input_ordinal", T.wrapped(F.col("sequence")).alias("lines"))
 
 
 def delta_offsets(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
     r = records(spark, d).withColumn("block", F.floor(F.col("record_id") / 128).cast("long"))
     return r.select("record_id", (F.col("virtual_offset") - F.lag("virtual_offset", 1, 0).over(Window.partitionBy("block").orderBy("record_id"))).alias("delta"))
 
@@ -215,11 +232,11 @@ QUERIES = {
     "header_suffix": (suffixes, f"SELECT input_ordinal, substr(header, length(full_id) + 1) AS suffix FROM ({CATALOG})"),
     "sorted_index_record_id": (lambda s, d: records(s, d).select("record_id", *SHOWN), f"SELECT record_id, {', '.join(SHOWN)} FROM ({RECORDS})"),
     "block_directory": (block_directory, _DIRECTORY),
-    "index_stats": (index_stats, f"SELECT sum(record_count)::BIGINT AS record_count, count(*) AS block_count FROM ({_DIRECTORY})"),
+    "index_stats": (index_stats, f"SELECT count(*) AS record_count, sum(strlen('part') + strlen('plain') + strlen(full_id) + strlen(header) + 48)::BIGINT AS raw_block_bytes, true AS is_stored FROM ({CATALOG})"),
     "block_skip": (block_skip, f"SELECT record_id // 128 AS block, min(record_id) AS first_record_id, count(*) AS record_count, max(full_id) AS last_id FROM ({RECORDS}) GROUP BY 1 HAVING min(full_id) <= 'Brand#17' AND max(full_id) >= 'Brand#17'"),
     "records_from_lines": (line_records, f"SELECT conv_id, record_no, sum(width)::BIGINT AS width, count(*) AS lines FROM ({_SESSIONS}) GROUP BY 1, 2"),
     "line_layout": (line_layouts, _LAYOUTS),
-    "layout_violations": (violations, f"SELECT conv_id, record_no, violations FROM ({_LAYOUTS}) WHERE violations > 0"),
+    "layout_violations": (violations, _VIOLATIONS),
     "sortedness_check": (sortedness, f"SELECT sum(CASE WHEN b > full_id THEN 1 ELSE 0 END)::BIGINT AS descents FROM (SELECT full_id, lag(full_id) OVER (ORDER BY input_ordinal) AS b FROM ({CATALOG}))"),
     "virtual_offsets": (offsets, "SELECT o_orderkey, v AS virtual_offset, v >> 16 AS address, v & 65535 AS place FROM (SELECT o_orderkey, ((o_orderkey * 977) << 16) | (o_orderkey * 9973 % 65536) AS v FROM orders)"),
     "gzi_floor": (floor_offsets, """WITH t AS (SELECT doc_id AS block, coalesce(sum(strlen(text)) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM documents),

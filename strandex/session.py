@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import os
 import warnings
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.regex import to_java
+from .functions.regex import compiled
 from .operators import fetch, lookup
 from .plans import build
+from .sources import files
+from .storage import filesystem
 
 
 class SeqIndex:
@@ -27,10 +28,11 @@ class SeqIndex:
         """The index beside a FASTA file, built first where there is none. An index older than its file is used, with
         a warning."""
         path = path or f"{fasta}.seqidx"
-        local = path.removeprefix("file://")
-        if not os.path.exists(local):
+        fs, index = filesystem(spark, path)
+        source_fs, source = filesystem(spark, fasta)
+        if not fs.exists(index):
             build.build_index(spark, fasta, path)
-        elif os.path.getmtime(local) < os.path.getmtime(fasta.removeprefix("file://")):
+        elif source_fs.exists(source) and fs.getFileStatus(index).getModificationTime() < source_fs.getFileStatus(source).getModificationTime():
             warnings.warn(f"{path} is older than {fasta}", stacklevel=2)
         return cls(spark, path)
 
@@ -62,7 +64,7 @@ class SeqIndex:
         if invert and pattern is None:
             raise ValueError("invert without a pattern")
         if pattern is not None:
-            to_java(pattern)
+            compiled(self.spark, pattern)
         return lookup.combined(self._matches(ids, mode) if given else None, self.regex(pattern, invert) if pattern is not None else None, by_offset)
 
     def fetch(self, *args, **kwargs) -> DataFrame:
@@ -73,15 +75,23 @@ class SeqIndex:
         return build.stats(self.spark, self.path)
 
     def register(self, view: str = "seq_index") -> None:
-        """The index as a view, and SQL functions normalize_query and primary_id beside it."""
+        """The index as a view, and beside it the SQL functions normalize_query(s), primary_id(s) and the table function
+        seq_lookup(query): the records of one query, exact as in exact()."""
         self.frame.createOrReplaceTempView(view)
-        self.spark.sql(r"CREATE OR REPLACE TEMPORARY FUNCTION primary_id(h STRING) RETURNS STRING RETURN regexp_extract(h, '\\A[^ \\t\\n\\f\\r]*', 0)")
+        trim = r"regexp_replace(%s, '\\A\\p{IsWhite_Space}+|\\p{IsWhite_Space}+\\z', '')"
+        normal = trim % r"regexp_replace(%s, '\\A>', '')" % (trim % "q")
+        id_ = r"regexp_extract(%s, '\\A[^ \\t\\n\\f\\r]*', 0)"
+        self.spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION normalize_query(q STRING) RETURNS STRING RETURN {normal}")
+        self.spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION primary_id(h STRING) RETURNS STRING RETURN {id_ % 'h'}")
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in self.frame.schema.fields)
+        self.spark.sql(f"""CREATE OR REPLACE TEMPORARY FUNCTION seq_lookup(q STRING) RETURNS TABLE ({columns}) RETURN
+            SELECT * FROM {view} WHERE full_id = primary_id(normalize_query(q)) AND (normalize_query(q) = full_id OR header = normalize_query(q))""")
 
 
 def read_ids(path: str) -> list[str]:
     """IDs of a file, one a line, in order; invalid UTF-8 is an error."""
-    with open(path, encoding="utf-8", newline="\n") as f:
-        return f.read().split("\n")
+    with files.opened(path) as f:
+        return f.read().decode("utf-8").split("\n")
 
 
 def missing_count(missing: DataFrame) -> DataFrame:

@@ -7,14 +7,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.ordered import numbered
 from ..schemas import GZI
 
 
 def read_fai(spark: SparkSession, path: str) -> DataFrame:
     """input_ordinal, full_id, sequence_length, raw_offset, line_bases, line_width of each line; blank lines are
-    skipped; under five fields or numbers that aren't are errors; further fields are ignored."""
-    text = spark.read.text(path, wholetext=True)
-    line = text.select(F.posexplode(F.split("value", "\n")).alias("input_ordinal", "line")).withColumn("line", F.regexp_replace("line", r"\r+\z", ""))
+    skipped; under five fields or numbers that aren't are errors; further fields are ignored.
+
+    The file is read in splits; a line's number comes from where its split begins and its place there."""
+    text = spark.read.option("lineSep", "\n").text(path)
+    line = text.select(F.regexp_replace("value", r"\r+\z", "").alias("line"), F.col("_metadata.file_block_start").alias("split_"), F.monotonically_increasing_id().alias("place_"))
+    line = numbered(line, ["split_", "place_"], "input_ordinal")
     field = F.split("line", "\t")
     rows = line.where(F.length(F.regexp_replace("line", r"\s", "")) > 0).withColumn("f", field)
     bad = F.when(F.size("f") < 5, F.raise_error(F.concat(F.lit("under five fields: "), F.col("line"))).cast("string"))

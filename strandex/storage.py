@@ -8,23 +8,46 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names for checkpoints; a temporary one of our own only where none is set (tests)."""
+    """The folder the cluster names for checkpoints. Where none is set, a temporary one of our own in local mode (tests),
+    an error otherwise: executors would not see it."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        import atexit
+        import shutil
         import tempfile
 
-        found = "file://" + tempfile.mkdtemp(prefix="strandex-")
+        path = tempfile.mkdtemp(prefix="strandex-")
+        atexit.register(shutil.rmtree, path, True)
+        found = f"file://{path}"
         spark.sparkContext.setCheckpointDir(found)
     return found
 
 
+def filesystem(spark: SparkSession, path: str):
+    """Hadoop's file system of a path, and the path as it knows it."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """df written as Parquet to the shared folder and read back: its lineage ends there, so that neither a lost
-    executor nor a second use computes it again. The files go when the driver's JVM ends."""
+    executor nor a second use computes it again. The files go when they are dropped() or the driver's JVM ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    fs, where = filesystem(spark, path)
+    fs.deleteOnExit(where)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def dropped(*frames: DataFrame) -> None:
+    """Deletes the files of written() frames that nothing needs any more; other frames are left alone."""
+    for df in frames:
+        if path := getattr(df, "stored_at", None):
+            fs, where = filesystem(df.sparkSession, path)
+            fs.delete(where, True)
+            fs.cancelDeleteOnExit(where)

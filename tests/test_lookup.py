@@ -9,9 +9,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandex.functions import text as T
-from strandex.functions.regex import UnsupportedPattern, to_java
+from strandex.functions.regex import UnsupportedPattern, compiled, to_java
 from strandex.operators import lookup as K
-from strandex.operators.lines import floor_lookup
+from strandex.operators import ordered as O
 from strandex.plans.build import valid
 from strandex.session import SeqIndex
 
@@ -72,13 +72,17 @@ def test_ids_end_at_ascii_white_space_only(spark):
 
 @pytest.mark.parametrize(
     ("pattern", "text", "want"),
-    [(r"^\w+$", "é5", True), (r"^\w+$", "abc\u0085", False), ("(?i)é", "É", True), (r"(?P<n>b)c", "abc", True), ("c$", "abc\n", False), ("(?m)c$", "abc\nd", True), ("[[:alpha:]]+9", "ab9", True), ("(?U)a+", "aa", True), ("a.c", "a\rc", True), ("a.c", "a\nc", False), (r"a\$", "a$", True), ("[$]", "$", True)],
+    [(r"^\w+$", "é5", True), (r"^\w+$", "abc\u0085", False), ("(?i)é", "É", True), (r"(?P<n>b)c", "abc", True), ("c$", "abc\n", False), ("(?m)c$", "abc\nd", True), ("[[:alpha:]]+9", "ab9", True), ("(?U)a+", "aa", True), ("a.c", "a\rc", True), ("a.c", "a\nc", False), (r"a\$", "a$", True), ("[$]", "$", True),
+     ("^a++$", "aaa", True), ("^(ab)**$", "abab", True), ("^a{2}{3}$", "aaaaaa", True), ("^a{2}{3}$", "aaaa", False), (r"\u{41}", "A", True), (r"^\x{e9}$", "é", True), (r"(?x)a # (", "a", True), ("(?x) a [b c] ", "ab", True),
+     ("^[a-z--c]+$", "abd", True) , ("^[a-z--[c]]+$", "abc", False), ("^[[a-d]~~[c-f]]+$", "abef", True), ("^[[a-d]~~[c-f]]+$", "c", False), ("^[a-f&&[^c]]+$", "abd", True), ("[]a]", "]", True), ("[^]a]", "]", False),
+     (r"\bcat\b", "a cat.", True), (r"\<cat\>", "a cats", False), (r"\p{Greek}", "α", True), (r"\pL\p{Nd}", "é5", True), (r"\P{Letter}", "a", False), (r"\p{^L}", "5", True), (r"\v", "\n", False), (r"\v", "\x0b", True),
+     ("[[:alpha:]]", "é", False), ("(?i)straße", "STRAßE", True), ("(?:a|b(?i)c)d", "bCd", True), ("a|", "zzz", True), ("()", "", True), ("(?m)^b", "a\nb", True), ("a{,2}b", "aab", True), (r"[\w&&[^\d]]", "5", False), (r"[a\-z]", "-", True), ("[a-]", "-", True), ("a}", "a}", True), ("a]", "a]", True)],
 )
 def test_pattern_dialect(spark, pattern, text, want):
-    assert spark.createDataFrame([(text,)], "t string").select(F.col("t").rlike(to_java(pattern))).first()[0] is want
+    assert spark.createDataFrame([(text,)], "t string").select(F.col("t").rlike(compiled(spark, pattern))).first()[0] is want
 
 
-@pytest.mark.parametrize("pattern", ["(?=a)", "(?!a)", "(?<=a)b", "(?<!a)b", r"(a)\1", "(?>a)", "a*+", "a++", r"\k<n>", "(?-u)a", "(?R)a", "[a", "a\\", r"\Z", "[a~~b]"])
+@pytest.mark.parametrize("pattern", ["(?=a)", "(?!a)", "(?<=a)b", "(?<!a)b", r"(a)\1", "(?>a)", r"\k<n>", "(?-u)a", "(?R)a", "[a", "a\\", r"\Z", "(abc", "a)", "*a", "[z-a]", "a{2,1}", "a{", "(?P<n>a)(?P<n>b)", r"\u{110000}", "[[:no:]]", r"\p{a b!}", "(?ii)a", "(*)", "|*"])
 def test_refused_patterns(pattern):
     with pytest.raises(UnsupportedPattern):
         to_java(pattern)
@@ -89,21 +93,51 @@ def test_pushdown_and_no_nested_loops(spark, tmp_path, index):
     stored = SeqIndex(spark, str(tmp_path / "i"))
     plan = stored.exact(["a", "z"])._jdf.queryExecution().toString()
     assert "In(full_id" in plan and "NestedLoop" not in plan and "CartesianProduct" not in plan
-    assert "NestedLoop" not in stored.prefix(["a", "pre", "duplicate first"])._jdf.queryExecution().toString()
+    few = stored.prefix(["a", "pre", "duplicate first"])._jdf.queryExecution().toString()
+    assert "StringStartsWith(full_id,pre)" in few and "EqualTo(full_id,duplicate)" in few and "NestedLoop" not in few
+    many = [f"{i % 10}" * (i % 5 + 1) for i in range(40)] + ["pref", "duplicate first"]
+    plan = stored.prefix(many)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "NestedLoop" not in plan
+    assert offsets(stored.prefix(many)) == [20, 50, 60]
+
+
+def test_sql_functions(spark, index):
+    index.register("my_index")
+    got = spark.sql("SELECT virtual_offset FROM seq_lookup(' >duplicate second description\n')").collect()
+    assert [r[0] for r in got] == [30]
+    assert sorted(r[0] for r in spark.sql("SELECT virtual_offset FROM seq_lookup('duplicate')").collect()) == [20, 30, 40]
+    assert spark.sql("SELECT normalize_query('  > a b ') AS q, primary_id('a b') AS i").first() == ("a b", "a")
 
 
 def test_dense_numbers_need_no_single_partition(spark):
     df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("k"))
-    got = K.numbered(df, ["k"], "n")
+    got = O.numbered(df, ["k"], "n")
     assert sorted((r.k, r.n) for r in got.collect()) == [(i, i) for i in range(1000)]
 
 
-def test_floor_lookup_crosses_gaps(spark):
-    table = spark.createDataFrame([(10, 1), (25, 2), (900, 3)], "k long, v long")
-    probes = spark.createDataFrame([(i, p) for i, p in enumerate([0, 9, 10, 24, 25, 500, 899, 900, 5000])], "i long, p long")
-    for size in (None, 7, 100):
-        got = {r.i: r.v for r in floor_lookup(probes, "p", table, "k", "v", bucket_size=size).collect()}
-        assert [got[i] for i in range(9)] == [None, None, 1, 1, 2, 2, 2, 3, 3]
+def test_floor_lookup_crosses_ranges(spark):
+    table = spark.createDataFrame([(10, "a"), (25, "b"), (900, "c")], "k long, v string")
+    asked = [0, 9, 10, 24, 25, 500, 899, 900, 5000, None] + [30] * 200
+    probes = spark.createDataFrame(list(enumerate(asked)), "i long, p long")
+    got = {r.i: (r.v, r.k) for r in O.floor_lookup(probes, "p", table, "k", "v").collect()}
+    none, a, b, c = (None, None), ("a", 10), ("b", 25), ("c", 900)
+    assert [got[i] for i in range(len(asked))] == [none, none, a, a, b, b, b, c, c, none] + [b] * 200
+    assert [r.v for r in O.floor_lookup(probes, "p", table.limit(0), "k", "v").collect()] == [None] * len(asked)
+    assert O.floor_lookup(probes.limit(0), "p", table, "k", "v").count() == 0
+
+
+def test_running_sums_and_descents(spark):
+    rows = [(i * 7919 % 500, None if i % 50 == 0 else i) for i in range(500)]
+    df = spark.createDataFrame(rows, "k long, x long")
+    total, want = 0, {}
+    for k, x in sorted(rows, key=lambda r: r[0]):
+        want[k] = total
+        total += x or 0
+    assert {r.k: r.before for r in O.running(df, ["k"], "x", "before").collect()} == want
+    ids = [f"{i * 31 % 97:02d}" for i in range(300)]
+    frame = spark.createDataFrame(list(enumerate(ids)), "input_ordinal long, full_id string")
+    assert O.is_sorted(frame).first().descents == sum(a > b for a, b in zip(ids, ids[1:]))
+    assert O.is_sorted(frame.limit(0)).first().descents == 0
 
 
 @pytest.mark.parametrize("row", [("", "", 1, 2), ("a b", "a b", 1, 2), ("a", "b", 1, 2), ("a", "ab", 1, 2), ("a", "a\nb", 1, 2), ("a", "a", 0, 2), ("a", "a", 3, 2)])

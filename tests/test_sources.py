@@ -7,19 +7,33 @@ import struct
 
 import pytest
 
-from strandex.file_queries import EOF_BLOCK, bgzf, bgzf_block
 from strandex.operators import fetch
 from strandex.plans import build
 from strandex.session import SeqIndex
 from strandex.sources import bgzf as Z
 from strandex.sources import fasta as S
+from strandex.sources.bgzf import EOF_BLOCK
+from strandex.sources.bgzf import block as bgzf_block
 from strandex.sources.indexes import read_fai, read_gzi
 
 
-def parse(data: bytes, tmp_path, low=0, high=1 << 60):
+def bgzf(data: bytes, size: int = 60_000) -> bytes:
+    return b"".join(bgzf_block(data[i : i + size]) for i in range(0, len(data), size)) + EOF_BLOCK
+
+
+def scanned(file, low=0, high=1 << 60, keep=True):
+    """id, header, offset, length, bases, width, sequence"""
+    out = []
+    for r in S.scan(file, low, high, keep):
+        sequences = r.sequence if keep else [None] * len(r.id)
+        out += zip(r.id, r.header, r.first.tolist(), r.length.tolist(), r.bases.tolist(), r.width.tolist(), sequences, strict=True)
+    return out
+
+
+def parse(data: bytes, tmp_path, low=0, high=1 << 60, chunk=7):
     p = tmp_path / "x.fa"
     p.write_bytes(data)
-    return [(r.id, r.header, r.first, r.length, r.bases, r.width, b"".join(r.parts)) for r in S.records(Z.PlainFile(str(p), 7), low, high, True)]
+    return scanned(Z.PlainFile(str(p), chunk), low, high)
 
 
 def test_offsets_and_layouts(tmp_path):
@@ -61,33 +75,79 @@ def fasta(n=60, seed=0):
     return out.getvalue()
 
 
+@pytest.mark.parametrize("chunk", [1, 7, 61, 4 << 20])
+def test_chunks_change_nothing(tmp_path, chunk):
+    data = fasta(20, 5)
+    lines = data.split(b">")[1:]
+    want = []
+    for record in lines:
+        head, _, body = record.partition(b"\n")
+        want.append((head.rstrip(b"\r").decode(), body.replace(b"\r", b"").replace(b"\n", b"")))
+    assert [(r[1], r[6]) for r in parse(data, tmp_path, chunk=chunk)] == want
+    assert all(len(r[6]) == r[3] for r in parse(data, tmp_path, chunk=chunk))
+
+
 @pytest.mark.parametrize("split", [37, 1000, 1 << 20])
 @pytest.mark.parametrize("blocked", [False, True])
-def test_splits_and_blocks_change_nothing(tmp_path, split, blocked):
+@pytest.mark.parametrize("keep", [False, True])
+def test_splits_and_blocks_change_nothing(tmp_path, split, blocked, keep):
     data = fasta()
     plain = parse(data, tmp_path)
     p = tmp_path / "y.fa"
     cut = bgzf_block(data[:100]) + bgzf_block(b"") + bgzf(data[100:], 333)
-    p.write_bytes(cut if blocked else data)
-    if blocked:
-        file = Z.BgzfFile(str(p), list(Z.walk(str(p))))
-    else:
-        file = Z.PlainFile(str(p), 50)
-    assert file.size == len(data)
-    got = [r for low in range(0, len(data), split) for r in S.records(file, low, min(low + split, len(data)), True)]
-    assert [(r.id, r.header, r.first, r.length, r.bases, r.width, b"".join(r.parts)) for r in got] == plain
-    for r in got:
-        with open(p, "rb") as f:
-            chunks = Z.read_from_block(f, file.offset(r.first), len(cut)) if blocked else file.read(r.first)
-            assert fetch.read_sequence(chunks, r.length, r.bases, r.width) == b"".join(r.parts)
+    stored = cut if blocked else data
+    p.write_bytes(stored)
+    file = Z.BgzfFile(str(p), 900) if blocked else Z.PlainFile(str(p), 50)
+    assert file.size == len(stored)
+    got = [r for low in range(0, len(stored), split) for r in scanned(file, low, min(low + split, len(stored)), keep)]
+    if not keep:
+        plain = [(*r[:6], None) for r in plain]
+    if not blocked:
+        assert got == plain
+    assert [r[:2] + r[3:] for r in got] == [r[:2] + r[3:] for r in plain]
+    for r in got if keep else []:
+        assert fetch.read_sequence(file.read(r[2]), *r[3:6]) == r[6]
+
+
+def test_cuts_at_every_place(tmp_path):
+    data = b">a d\nACGT\nAC\n>b\nT\n>c\r\nGG\r\nG\r\n>d\nA"
+    want = parse(data, tmp_path)
+    assert len(want) == 4
+    p = tmp_path / "x.gz"
+    for place in range(1, len(data)):
+        assert parse(data, tmp_path, 0, place) + parse(data, tmp_path, place) == want
+        first = bgzf_block(data[:place])
+        p.write_bytes(first + bgzf_block(data[place:]) + EOF_BLOCK)
+        file = Z.BgzfFile(str(p))
+        for at in (1, len(first), len(first) + 1):
+            assert [r[1:2] + r[3:] for r in scanned(file, 0, at) + scanned(file, at)] == [r[1:2] + r[3:] for r in want]
+
+
+def test_a_line_of_many_chunks_is_not_held(tmp_path):
+    p = tmp_path / "long.fa"
+    p.write_bytes(b">one\n" + b"A" * 100_000 + b"\n>two\nC\n")
+    file = Z.PlainFile(str(p), 1000)
+    assert [r[:6] for r in scanned(file, keep=False)] == [("one", "one", 5, 100_000, 100_000, 100_001), ("two", "two", 100_011, 1, 1, 2)]
 
 
 def test_a_line_at_a_block_start_has_the_new_blocks_address(tmp_path):
     first, second = bgzf_block(b">a\n"), bgzf_block(b"ACGT\n")
     p = tmp_path / "z.gz"
     p.write_bytes(first + second + EOF_BLOCK)
-    (r,) = S.records(f := Z.BgzfFile(str(p), list(Z.walk(str(p)))), 0, 100, False)
-    assert f.offset(r.first) == len(first) << 16
+    (r,) = scanned(Z.BgzfFile(str(p)))
+    assert r[2] == len(first) << 16
+
+
+def test_a_block_is_found_only_where_one_is(tmp_path):
+    inner = bgzf_block(b"decoy")[:-1]  # a header that doesn't hold what it says
+    data = b"x" * 10 + inner + b"y" * 10
+    stored = Z._MAGIC  # noqa: F841
+    one = bgzf_block(data)
+    p = tmp_path / "d.gz"
+    p.write_bytes(one + bgzf_block(b"z\n") + EOF_BLOCK)
+    with open(p, "rb") as f:
+        size = f.seek(0, 2)
+        assert [Z.first_block(f, x, size) for x in (0, 1, len(one), size - 5)] == [0, len(one), len(one), size]
 
 
 @pytest.mark.parametrize("cut", [gzip.compress(b">a\nA\n"), bgzf(b">a\nACGT\n")[:20], bgzf(b">a\nACGT\n")[:5]])
@@ -104,7 +164,7 @@ def test_damaged_data(tmp_path):
     p = tmp_path / "d.gz"
     p.write_bytes(data)
     with pytest.raises(Z.BgzfError):
-        b"".join(Z.BgzfFile(str(p), list(Z.walk(str(p)))).read(0))
+        b"".join(Z.BgzfFile(str(p)).read(0))
 
 
 @pytest.mark.parametrize("blocked", [False, True])
