@@ -2,19 +2,24 @@
 
 The kernel of two words is the sum, over all subsequences of three characters within six, of the products of their
 weights; a subsequence weighs DECAY to the number of characters it skips. So an insult with inserted characters, with
-gaps or with another ending keeps most of its likeness. Runs of single characters are joined to one word first.
-Kernels are divided by a norm for each word's length (up to a length, that of ten), so that long words don't win.
+gaps or with another ending keeps most of its likeness. The white space before a word counts as its first character, so
+that beginnings of words count more than the same letters inside. Runs of single characters are joined to one word
+first. Kernels are divided by a norm for each word's length (from that of four to that of ten), so that neither long
+words nor those of two letters win. Letters beyond a-z share 26 symbols.
 
 Training takes a bounded sample of labelled documents, each a bag of words: all words of a clean document are clean,
 some word of a toxic one is toxic. Words found far more often in toxic bags than in clean ones are the first
 witnesses; landmarks are picked by pivoted Cholesky among these and clean words; a squared-hinge support vector
 machine is fitted on the Nyström features by Newton's method; then each toxic bag names the word that scores highest
 as its witness, and the machine is fitted again. As a score is linear in the kernel values of the landmarks, it
-collapses to one weight for each subsequence, and a text needs one pass over its characters. A document's score is
-that of its worst word, as a probability by a logistic fit on the sample.
-
-Null and empty texts have the score of a word without subsequences. Rows with repeated or null ids are scored each.
-Without labels of both classes every score is 0. Only texts are inputs of a score.
+collapses to one weight for each subsequence, and a text needs one pass over its characters. A document's evidence is
+that of its worst word or, against a lower cut, of its second worst different one: fillers that look like an insult
+come singly. Both cuts are those of the fewest errors on the sample; a logistic fit makes evidence a probability.
+
+Null and empty texts have the score of a word without subsequences. Rows with repeated or null ids are scored each; an
+empty table gives no rows; other columns, whatever their names, stay. Of several labels of one id the largest counts,
+of several texts of one id the smallest trains. Without labels of both classes every score is 0. Only texts are inputs
+of a score.
 """
 
 from __future__ import annotations
@@ -35,6 +40,8 @@ TOXIC, CLEAN, LONGEST = 2_500, 5_000, 20_000
 LANDMARKS, CANDIDATES, WORDS = 192, 500, 10_000
 #: Weight of the machine's errors against its ridge.
 COST = 1.0
+#: Score of a word that has nothing in common with the landmarks.
+BIAS = -1.0
 #: Weight of disguised forms of toxic words against these themselves.
 DISGUISED = 0.1
 #: predicted is 1 from this score on.
@@ -55,13 +62,15 @@ _TABLE = _symbols()
 
 
 class Stream:
-    """The symbols of texts one after the other, words apart: rem[i] characters of the word follow place i."""
+    """The symbols of texts one after the other, words apart: rem[i] characters of the word follow place i. The white
+    space before a word is its first character, so that subsequences know where words begin."""
 
     def __init__(self, texts: list[str]):
-        joined = "\n".join(texts).lower() + "\n"
+        lowered = [t.lower() for t in texts]
+        joined = "\n" + "\n".join(lowered) + "\n"
         code = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
-        lengths = np.array([len(t.lower()) for t in texts], np.int64)
-        ends = np.cumsum(lengths + 1)
+        lengths = np.array([len(t) for t in lowered], np.int64)
+        ends = np.cumsum(lengths + 1) + 1
         c = _TABLE[np.minimum(code, len(_TABLE) - 1)]
         space = c == 63
         # a space between two words of one character each
@@ -78,6 +87,7 @@ class Stream:
         following = np.searchsorted(self.last, np.arange(len(c)))
         self.rem = np.where(space, -1, np.append(self.last, len(c))[following] - np.arange(len(c))) if len(self.last) else np.full(len(c), -1)
         self.lengths = self.last - self.first + 1
+        self.rem[self.first - 1] = self.lengths
 
     def codes(self):
         """(b, places, codes) of the subsequences; each place i starts one that ends at i + b."""
@@ -94,53 +104,63 @@ class Stream:
         for b, inside, code in self.codes():
             total[: len(code)] += weight[code] * (inside * np.float32(DECAY ** (b - 2)))
         edges = np.empty(2 * len(self.first), np.int64)
-        edges[::2], edges[1::2] = self.first, self.last + 1
-        return np.add.reduceat(total, edges)[::2] / norms()[np.minimum(self.lengths, NORMED)]
+        edges[::2], edges[1::2] = self.first - 1, self.last + 1
+        # between a word's end and the next one's white space there may be nothing, so sums are differences
+        summed = np.concatenate([[0.0], np.cumsum(total, dtype=np.float64)])
+        return ((summed[edges[1::2]] - summed[edges[::2]]) / norms()[np.minimum(self.lengths, NORMED)]).astype(np.float32)
 
 
 def norms() -> np.ndarray:
-    """By length: the root of the summed squared weights of a word's subsequences (as if all were different)."""
-    out = np.ones(NORMED + 1, np.float32)
-    for n in range(3, NORMED + 1):
-        out[n] = sum(max(0, n - b) * DECAY ** (2 * (b - 2)) for _, b in _STEPS) ** 0.5
-    return out
+    """By length: the root of the summed squared weights of a word's subsequences (as if all were different), its first
+    place included. Lengths under four have that of four: a word of two letters would be like each that begins so."""
+    squares = [sum(max(0, n + 1 - b) * DECAY ** (2 * (b - 2)) for _, b in _STEPS) for n in range(NORMED + 1)]
+    return np.sqrt(np.maximum(squares, squares[4])).astype(np.float32)
 
 
 @dataclass
 class Model:
     weight: np.ndarray  # of each subsequence
-    bias: float
-    slope: float  # of the logistic fit
-    shift: float
+    one: float = 0.0  # word score from which one word makes a text toxic
+    two: float = np.inf  # and from which two different words do
+    slope: float = 0.0  # of the logistic fit
     trained: bool = True
 
-    def worst(self, texts: list[str]) -> np.ndarray:
-        """The highest word score of each text."""
-        out, low, n = [np.zeros(0, np.float32)], 0, 0
+    def worst(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The highest word score of each text, and the highest one of another word."""
+        out, low, n = [np.zeros((2, 0), np.float32)], 0, 0
         for i, t in enumerate(texts):  # a slice of characters at a time, as its arrays are many times as large
             n += len(t) + 1
             if n > 300_000 or i + 1 == len(texts):
                 out.append(self._worst(texts[low : i + 1]))
                 low, n = i + 1, 0
-        return np.concatenate(out)
+        first, second = np.concatenate(out, axis=1)
+        return first, second
 
     def _worst(self, texts: list[str]) -> np.ndarray:
         stream = Stream(texts)
-        best = np.zeros(len(texts), np.float32)
-        scores = stream.word_sums(self.weight)
-        np.maximum.at(best, np.searchsorted(stream.ends, stream.first, "right"), scores)
-        return best + self.bias
+        best = np.full((2, len(texts)), BIAS, np.float32)
+        scores = stream.word_sums(self.weight) + np.float32(BIAS)
+        text_of = np.searchsorted(stream.ends, stream.first, "right")
+        np.maximum.at(best[0], text_of, scores)
+        other = scores < best[0][text_of] - 1e-4  # repeats of a word have its score
+        np.maximum.at(best[1], text_of[other], scores[other])
+        return best
+
+    def evidence(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """From 0 on a text is toxic."""
+        return np.maximum(first - self.one, second - self.two)
 
     def scores(self, texts: list[str]) -> np.ndarray:
         if not self.trained:
             return np.zeros(len(texts))
-        return 1 / (1 + np.exp(-np.clip(self.slope * self.worst(texts).astype(float) + self.shift, -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(self.slope * self.evidence(*self.worst(texts)).astype(float) + np.log(THRESHOLD / (1 - THRESHOLD)), -30, 30)))
 
 
 def _sparse(words: list[str]):
     """Kernel features of words: word, code and weight of each subsequence."""
     stream = Stream(words)
-    word_of = np.searchsorted(stream.ends, np.arange(len(stream.c)), "right")
+    # a word's first place is the white space before it
+    word_of = np.searchsorted(stream.ends, np.arange(1, len(stream.c) + 1), "right")
     rows, codes, weights = [], [], []
     for b, inside, code in stream.codes():
         at = np.flatnonzero(inside)
@@ -191,14 +211,14 @@ def _pivots(words: list[str], most: int) -> list[int]:
 
 
 def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float = 1.0) -> np.ndarray:
-    """Weights w that minimise ridge |w|^2 / 2 + sum of cost max(0, 1 - y f)^2 with f = x w - 1, by Newton's method.
+    """Weights w that minimise ridge |w|^2 / 2 + sum of cost max(0, 1 - y f)^2 with f = x w + BIAS, by Newton's method.
 
-    The bias is fixed at -1, so that a word that has nothing in common with the landmarks is clean."""
+    The bias is fixed, so that a word that has nothing in common with the landmarks is clean."""
     w = np.zeros(x.shape[1])
     for _ in range(30):
-        active = y * (x @ w - 1) < 1
+        active = y * (x @ w + BIAS) < 1
         weighted = 2 * x[active].T * cost[active]
-        fresh = np.linalg.solve(weighted @ x[active] + ridge * np.eye(len(w)), weighted @ (y[active] + 1))
+        fresh = np.linalg.solve(weighted @ x[active] + ridge * np.eye(len(w)), weighted @ (y[active] - BIAS))
         if np.abs(fresh - w).max() < 1e-6:
             break
         w = fresh
@@ -248,7 +268,7 @@ def _disguised(word: str) -> list[str]:
 
 def train(toxic: list[str], clean: list[str], seed: int = 11) -> Model:
     if not toxic or not clean:
-        return Model(np.zeros(1 << 18, np.float32), 0.0, 0.0, 0.0, False)
+        return Model(np.zeros(1 << 18, np.float32), trained=False)
     rng = np.random.default_rng(seed)
     number: dict[str, int] = {}  # bags are numbers of words, as sets of strings would need a hundred times the memory
     every_bad, every_good = ([np.array([number.setdefault(w, len(number)) for w in sorted(_words(t))], np.int32) for t in texts] for texts in (toxic, clean))
@@ -269,6 +289,7 @@ def train(toxic: list[str], clean: list[str], seed: int = 11) -> Model:
     clean_words = np.zeros(len(names), bool)
     for bag in every_good:
         clean_words[bag] = True
+    clean_words[first] = False  # a word that is found far more often in toxic bags isn't clean for being in a clean one
     pool = np.flatnonzero(clean_words)
     others = [names[i] for i in pool[rng.permutation(len(pool))]]
     negative = list(dict.fromkeys([*(names[i] for i in np.argsort(-in_good, kind="stable")[: CANDIDATES // 4] if clean_words[i]), *others[:WORDS]]))
@@ -276,7 +297,7 @@ def train(toxic: list[str], clean: list[str], seed: int = 11) -> Model:
     toxic_half, clean_half = seeds[:CANDIDATES], negative[:CANDIDATES]
     landmarks = list(dict.fromkeys([*(toxic_half[i] for i in _pivots(toxic_half, LANDMARKS // 2)), *(clean_half[i] for i in _pivots(clean_half, LANDMARKS // 2))]))
     if not landmarks:  # no word has three characters
-        return Model(np.zeros(1 << 18, np.float32), 0.0, 0.0, 0.0, False)
+        return Model(np.zeros(1 << 18, np.float32), trained=False)
     kernel = Kernel(landmarks)
     values, vectors = np.linalg.eigh(kernel.of(landmarks))
     large = values > values.max() * 1e-6
@@ -293,7 +314,7 @@ def train(toxic: list[str], clean: list[str], seed: int = 11) -> Model:
     def collapsed(w: np.ndarray) -> Model:
         weight = np.zeros(1 << 18, np.float32)
         weight[kernel.codes] = kernel.dense @ w
-        return Model(weight, -1.0, 1.0, 0.0)
+        return Model(weight)
 
     own = [bag[~clean_words[bag]] for bag in bad]
     every = np.unique(np.concatenate([np.zeros(0, np.int32), *own]))
@@ -301,37 +322,50 @@ def train(toxic: list[str], clean: list[str], seed: int = 11) -> Model:
     positive = seeds
     for _ in range(4):
         model = collapsed(fit(positive))
-        score[every] = model.worst([names[i] for i in every])
+        score[every] = model.worst([names[i] for i in every])[0]
         witnesses = {int(bag[score[bag].argmax()]) for bag in own if len(bag)}
         positive = sorted({names[x] for x in witnesses if score[x] > -0.5} | set(seeds))
         # clean words that the machine takes for toxic ones are the next ones it should learn
-        negative = list(dict.fromkeys([*negative, *(others[i] for i in np.argsort(-model.worst(others), kind="stable")[:1500])]))
+        negative = list(dict.fromkeys([*negative, *(others[i] for i in np.argsort(-model.worst(others)[0], kind="stable")[:1500])]))
     model = collapsed(fit(positive))
-    worst = np.concatenate([model.worst(toxic), model.worst(clean)]).astype(float)
+    one, two = (np.concatenate([x, y]).astype(float) for x, y in zip(model.worst(toxic), model.worst(clean), strict=True))
     truth = np.array([1.0] * len(toxic) + [0.0] * len(clean))
-    model.slope, model.shift = _logistic(worst, truth)
-    model.shift += np.log(THRESHOLD / (1 - THRESHOLD)) - (model.slope * _cut(worst, truth) + model.shift)
+    model.one, model.two = _cuts(one, two, truth)
+    model.slope = _slope(model.evidence(one, two), truth)
     return model
 
 
-def _cut(x: np.ndarray, y: np.ndarray) -> float:
-    """The middle of the gap at which x tells y with the fewest errors; the logistic fit is shifted to THRESHOLD there."""
+def _cuts(one: np.ndarray, two: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """Cuts at which "one of its words, or each of two" tells y with the fewest errors; the second cut is as high as it
+    can be without more errors."""
+    steps = np.unique(np.quantile(two[y > 0], np.linspace(0, 1, 257)))
+    best = (np.inf, 0.0, 0.0)
+    for cut in [np.inf, *steps[::-1]]:
+        rest = two < cut
+        errors, at = _cut(one[rest], y[rest]) if rest.any() else (0, 0.0)
+        best = min(best, (errors + int((1 - y[~rest]).sum()), -cut, at))
+    return best[2], -best[1]
+
+
+def _cut(x: np.ndarray, y: np.ndarray) -> tuple[int, float]:
+    """The fewest errors with which a cut of x tells y, and the middle of where these are."""
     order = np.argsort(x, kind="stable")
     x, y = x[order], y[order]
     errors = np.concatenate([[0], np.cumsum(y)]) + (1 - y).sum() - np.concatenate([[0], np.cumsum(1 - y)])
+    errors[1:-1][x[1:] == x[:-1]] = np.inf  # equal values stay together
     edges = np.concatenate([[x[0] - 1], (x[1:] + x[:-1]) / 2, [x[-1] + 1]])
-    return float(np.median(edges[errors == errors.min()]))
+    return int(errors.min()), float(np.median(edges[errors == errors.min()]))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and shift of a logistic fit, with a slight ridge and smoothed targets."""
+def _slope(x: np.ndarray, y: np.ndarray) -> float:
+    """Slope of a logistic fit that is THRESHOLD at 0, with a slight ridge and smoothed targets."""
     target = np.where(y > 0, 1 - 1 / (y.sum() + 2), 1 / ((1 - y).sum() + 2))
-    design, w = np.column_stack([x, np.ones(len(x))]), np.zeros(2)
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(design @ w, -30, 30)))
-        step = np.linalg.solve((design * (p * (1 - p) + 1e-9)[:, None]).T @ design + 1e-3 * np.eye(2), design.T @ (p - target) + 1e-3 * w)
-        w = w - np.clip(step, -5, 5)
-    return float(w[0]), float(w[1])
+    w = 1.0
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(w * x + np.log(THRESHOLD / (1 - THRESHOLD)), -30, 30)))
+        step = (x @ (p - target) + 1e-3 * w) / ((x * x) @ (p * (1 - p) + 1e-9) + 1e-3)
+        w = max(w - float(np.clip(step, -2, 2)), 0.05)
+    return w
 
 
 def training_texts(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC, clean: int = CLEAN) -> tuple[list[str], list[str]]:
@@ -342,13 +376,14 @@ def training_texts(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC, clean
         return kept.where(F.col("toxic") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
 
     chosen = first(1, toxic).union(first(0, clean))
-    rows = docs.select("doc_id", "text").where(F.length("text") <= LONGEST).join(F.broadcast(chosen), "doc_id").select("toxic", "text", "doc_id").limit(2 * (toxic + clean)).collect()
+    known = docs.select("doc_id", "text").where(F.length("text") <= LONGEST).join(F.broadcast(chosen), "doc_id")
+    rows = known.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).collect()  # as many as `chosen`
     rows.sort(key=lambda r: (r.doc_id, r.text))
     return [r.text for r in rows if r.toxic], [r.text for r in rows if not r.toxic]
 
 
-def toxicity(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """docs with score (double)."""
+def toxicity(docs: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
+    """docs with the score (double) as the column `out`, in place of one of that name."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches):
@@ -360,8 +395,8 @@ def toxicity(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     # names may clash or repeat, so columns travel by place
     plain = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)), F.col(text).alias("text"))
     kinds = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(docs.schema.fields))
-    out = plain.mapInArrow(score, f"{kinds}, score double")
-    return out.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(kept) if c != "score"), "score")
+    done = plain.mapInArrow(score, f"{kinds}, score double")
+    return done.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(kept) if c != out), F.col("score").alias(out))
 
 
 def held_out() -> F.Column:
