@@ -13,9 +13,9 @@ from strandex.llm.common import table, written
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity.train(*toxicity.training_texts(docs, table(spark, sf_dir, "labels")))
-    scored = toxicity.toxicity(docs.withColumnRenamed("score", "own score") if "score" in docs.columns else docs, model)
-    kept = scored.where(scored.score < toxicity.THRESHOLD).drop("score")
-    return kept.withColumnRenamed("own score", "score")
+    score = "score" + "_" * max(map(len, docs.columns))  # longer than any name there is
+    scored = toxicity.toxicity(docs, model, out=score)
+    return scored.where(F.col(score) < toxicity.THRESHOLD).drop(score)
 
 
 def no_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
