@@ -3,7 +3,8 @@
 Tier one is a compact table of the lengths (in tokens) of frequent pre-tokens, built once on the driver from a
 bounded sample of documents and broadcast. Tier two is a bounded cache in each worker; what misses both is encoded.
 The tables only save time: every pre-token of every whole text is counted, whichever tier answers, and no pre-token
-is shuffled. Null and empty texts have no tokens; repeated rows are counted each.
+is shuffled. Null and empty texts have no tokens; repeated rows, also with one id or a null one, are counted each; an
+empty table gives no rows; columns other than id and text are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,30 +18,19 @@ from pyspark.sql import functions as F
 from . import bpe
 from .common import table
 
-#: Entries of the broadcast table, and the documents sampled to find them. Both only decide how often tier two works.
-FREQUENT, SAMPLED = 1 << 15, 4_000
+#: Entries of the broadcast table, and the documents sampled to find them, with the characters that are looked at. All
+#: only decide how often tier two works, not what is counted.
+FREQUENT, SAMPLED, SAMPLED_CHARACTERS = 1 << 15, 4_000, 4_000
 
 
 def frequent_pretokens(docs: DataFrame, text: str, path: str, most: int = FREQUENT, sampled: int = SAMPLED) -> dict[str, int]:
-    """At most `most` pre-tokens (without their leading space) that are frequent in about `sampled` documents, with lengths."""
-    rows = docs.count()
-    if not rows:
-        return {}
-
-    def tally(batches):
-        seen: Counter = Counter()
-        for batch in batches:
-            for t in batch.column(0).to_pylist():
-                seen.update(c for c in (t or "").split(" ")[1:] if c and len(c) <= bpe.LONGEST_KEPT and not c[0].isspace())
-        top = [(c, n) for c, n in seen.most_common(most) if n > 1]
-        yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], ["cut", "n"])
-
-    part = docs.select(F.col(text).alias("text"))
-    if rows > sampled:
-        part = part.sample(fraction=sampled / rows, seed=7)
-    top = part.coalesce(16).mapInArrow(tally, "cut string, n long").groupBy("cut").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "cut").limit(most).collect()
+    """At most `most` pre-tokens (without their leading space) that are frequent in the first `sampled` documents, with
+    lengths. Only as many partitions are read as hold these; of longer documents the first characters."""
+    seen: Counter = Counter()
+    for (t,) in docs.select(F.left(F.col(text), F.lit(SAMPLED_CHARACTERS))).limit(sampled).collect():
+        seen.update(c for c in (t or "").split(" ")[1:] if c and len(c) <= bpe.LONGEST_KEPT and not c[0].isspace())
     coder = bpe.coder(path)
-    return {r.cut: len(coder.ids(" " + r.cut)) for r in top}
+    return {c: len(coder.ids(" " + c)) for c, n in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:most] if n > 1}
 
 
 def token_counts(docs: DataFrame, path: str, id: str = "doc_id", text: str = "text", limit: int = 1024, known: dict[str, int] | None = None) -> DataFrame:
