@@ -5,15 +5,21 @@ probability in proportion to a row's size, gives quantiles that cut the keys int
 range's true size is then counted over all rows. In an overfull range, keys that alone exceed the target are subdivided
 by a hash of the row's place in the table into parts of about the target; its other keys stay whole, in the range's
 first part. Ranges in order of their keys, then parts, form one line, which is cut into shards at equal shares of the
-total size: a group of equal texts goes whole to the shard that its middle falls in, unless it was subdivided. So shards differ by about one range, whatever the sizes and copies, and places in a
-shard count up without a gap.
+total size: a group of equal texts goes whole to the shard that its middle falls in, unless it was subdivided.
 
-Null texts have size 1 and the checksum of the empty text; null ids and repeated rows are rows like others. An empty
-table gives no rows.
+So a shard's size differs from the mean by at most half the target at either end, the target being a
+(RANGES / 2)-th of the mean, plus half of the largest row there: places of shards in the line are exact, and only the
+group across a cut moves as a whole, which has at most the target's bytes if it wasn't subdivided (one row more than
+that if it was). Places in a shard count up without a gap.
+
+Null texts have size 1 and the checksum of the empty text; null ids and repeated rows are rows like others, ties in the
+order of a shard are broken by the id. An empty table gives no rows. Columns other than id and text are not read,
+whatever their names.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -21,21 +27,40 @@ from .common import table, written
 
 #: Ranges for each shard, and keys sampled for each range.
 RANGES, SAMPLED = 64, 8
-#: Bytes in a range at most before more ranges are made.
-LARGEST = 1 << 28
+#: Bytes of texts in a range at most before more ranges are made (rows are shuffled without their texts), so that the
+#: driver holds a few thousand splitters at 100 TB.
+LARGEST = 1 << 33
+#: Rows of a table that is broadcast at most.
+BROADCAST_ROWS = 1_000_000
 
 
-def _bucket(key: str, splitters: list[int]) -> Column:
-    """How many splitters are at or below key: over groups of splitters, then in one group."""
+def bucket(key: str, splitters: list[int]) -> Column:
+    """How many of the ascending splitters are at or below a long column. They are one array literal, of which three
+    short slices are searched."""
     if not splitters:
         return F.lit(0)
-    step = max(1, int(len(splitters) ** 0.5))
-    groups = [splitters[i : i + step] for i in range(0, len(splitters), step)]
-    heads = F.array(*(F.lit(g[0]) for g in groups))
-    table_ = F.array(*(F.array(*(F.lit(x) for x in g)) for g in groups))
-    at = F.size(F.filter(heads, lambda x: x <= F.col(key)))
-    inside = F.size(F.filter(F.element_at(table_, F.greatest(at, F.lit(1))), lambda x: x <= F.col(key)))
-    return F.when(at == 0, 0).otherwise((at - 1) * step + inside)
+    n = len(splitters)
+    all_ = F.lit(np.array(splitters, np.int64))
+    found, width = F.lit(0), n
+    for step in (max(1, round(n ** (2 / 3))), max(1, round(n ** (1 / 3))), 1):
+        # of the elements found + step, found + 2 step, ... up to width: how many are at or below
+        picks = F.sequence(found + step, F.least(found + width, F.lit(n)), F.lit(step))
+        fits = F.size(F.filter(picks, lambda i: F.element_at(all_, i) <= F.col(key)))
+        found, width = F.when(found + step > F.lit(n), found).otherwise(found + fits * step), step
+    return found
+
+
+def sampled_splitters(rows: DataFrame, key: str, size: str, total: int, ranges: int, *draw_by: str | Column) -> list[int]:
+    """Up to ranges - 1 ascending splitters between ranges of about equal size: quantiles of about SAMPLED keys for each
+    range, drawn by a hash of draw_by with a probability in proportion to a row's size."""
+    chance = F.pmod(F.xxhash64(*draw_by), F.lit(1 << 40)) / float(1 << 40)
+    drawn = sorted(r[0] for r in rows.where(F.col(key).isNotNull() & (chance < F.col(size) * (ranges * SAMPLED / max(total, 1)))).select(key).collect())
+    return sorted({drawn[i * len(drawn) // ranges] for i in range(1, ranges)}) if drawn else []
+
+
+def _known(df: DataFrame, rows: int) -> DataFrame:
+    """A side of a join: broadcast if it has few rows (of a few numbers each)."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
 def shards(docs: DataFrame, count: int = 16, id: str = "doc_id", text: str = "text", seed: int = 3) -> DataFrame:
@@ -48,25 +73,19 @@ def shards(docs: DataFrame, count: int = 16, id: str = "doc_id", text: str = "te
         return rows.select("doc_id", "size", "text_crc32", F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"))
     ranges = max(RANGES * count, -(-total // LARGEST))
 
-    # size-weighted sample: a row is drawn with probability size * wanted / total, by a hash of id and key
-    wanted = ranges * SAMPLED
-    chance = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "key"), F.lit(1 << 40)) / float(1 << 40)
-    drawn = rows.where(chance < F.col("size") * (wanted / total)).select("key")
-    quantiles = drawn.agg(F.percentile_approx("key", [i / ranges for i in range(1, ranges)], 4 * ranges)).first()[0] or []
-    splitters = sorted(set(quantiles))
-
-    placed = written(rows.withColumn("range", _bucket("key", splitters)), "placed")
+    splitters = sampled_splitters(rows, "key", "size", total, ranges, F.lit(seed), "doc_id", "key")
+    placed = written(rows.withColumn("range", bucket("key", splitters)), "placed")
     target = max(1, total // (RANGES // 2 * count))
     overfull = placed.groupBy("range").agg(F.sum("size").alias("bytes")).where(F.col("bytes") > target).select("range")
-    # fewer keys than RANGES // 2 * count can be hot: each alone exceeds the target
-    hot = placed.join(F.broadcast(overfull), "range", "left_semi").groupBy("range", "key").agg(F.sum("size").alias("bytes")).where(F.col("bytes") > target)
+    # at most `ranges` ranges can be overfull, and fewer than RANGES // 2 * count keys hot: each alone exceeds the target
+    hot = placed.join(_known(overfull, ranges), "range", "left_semi").groupBy("range", "key").agg(F.sum("size").alias("bytes")).where(F.col("bytes") > target)
     hot = hot.withColumn("parts", F.ceil(F.col("bytes") / target).cast("int"))
     earlier = Window.partitionBy("range").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
     hot = hot.select(F.col("key").alias("key_"), "parts", (F.coalesce(F.sum("parts").over(earlier), F.lit(0)) + 1).cast("int").alias("first_part"))
     # the place differs between rows with equal ids
     numbered = placed.withColumn("place", F.monotonically_increasing_id())
     part = F.when(F.col("parts").isNull(), 0).otherwise(F.col("first_part") + F.pmod(F.xxhash64(F.lit(seed + 1), "place"), F.col("parts")).cast("int"))
-    split = numbered.join(F.broadcast(hot), F.col("key") == F.col("key_"), "left").withColumn("part", part).select("doc_id", "size", "text_crc32", "key", "range", "part")
+    split = numbered.join(_known(hot, RANGES // 2 * count), F.col("key") == F.col("key_"), "left").withColumn("part", part).select("doc_id", "size", "text_crc32", "key", "range", "part")
     split = written(split, "split")
 
     # the line of parts: how many bytes and rows stand before each
@@ -77,14 +96,15 @@ def shards(docs: DataFrame, count: int = 16, id: str = "doc_id", text: str = "te
 
     own = Window.partitionBy("range", "part")
     group = Window.partitionBy("range", "part", "key")
-    lined = split.join(F.broadcast(before), (F.col("range") == F.col("range_")) & (F.col("part") == F.col("part_")))
+    # a line has a row for each range and at most 2 * RANGES // 2 * count parts of hot keys
+    lined = split.join(_known(before, ranges + RANGES * count), (F.col("range") == F.col("range_")) & (F.col("part") == F.col("part_")))
     lined = lined.withColumn("row", F.row_number().over(own.orderBy("key", "doc_id")) - 1 + F.col("rows_before"))
     lined = lined.withColumn("end", F.sum("size").over(own.orderBy("key").rangeBetween(Window.unboundedPreceding, 0)) + F.col("bytes_before"))
     lined = lined.withColumn("middle", F.col("end") - F.sum("size").over(group) / 2)
     lined = lined.withColumn("shard", F.least(F.floor(F.col("middle") * count / total), F.lit(count - 1)).cast("int"))
     lined = written(lined.select("doc_id", "size", "text_crc32", "shard", "row"), "lined")
     first = lined.groupBy("shard").agg(F.min("row").alias("first")).withColumnRenamed("shard", "shard_")
-    return lined.join(F.broadcast(first), F.col("shard") == F.col("shard_")).select("doc_id", "size", "text_crc32", "shard", (F.col("row") - F.col("first")).cast("long").alias("slot"))
+    return lined.join(_known(first, count), F.col("shard") == F.col("shard_")).select("doc_id", "size", "text_crc32", "shard", (F.col("row") - F.col("first")).cast("long").alias("slot"))
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

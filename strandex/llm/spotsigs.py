@@ -18,11 +18,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import table, written
-from .sharding import _bucket
+from .sharding import bucket as _bucket
+from .sharding import sampled_splitters
 
 CHAIN, AHEAD = 2, 3
-#: Documents that stand next to each other in one partition of the window, about; partitions at most.
-NEIGHBOURS, BUCKETS = 2_000, 1 << 16
+#: Bytes of documents that stand next to each other in one partition of the window, about; partitions at most.
+NEIGHBOURS, BUCKETS = 8 << 20, 1 << 18
 #: Common words of English, German, French and Spanish.
 ANCHORS = """
 a about after all also an and any are as at be because been but by can could do for from had has have he her his how
@@ -92,12 +93,13 @@ def fingerprints(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Dat
     by the first as many of the next row's (by id, then text; null ids first; the first row after the last), with the
     likeness of both to the row's own. Repeated rows follow each other. An empty table gives no rows."""
     rows = docs.select(F.col(id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    count, nulls, low = rows.agg(F.count("*"), F.count_if(F.col("doc_id").isNull()), F.min("doc_id")).first()
-    buckets = max(1, min(BUCKETS, count // NEIGHBOURS))
+    size = F.octet_length("text") + 64
+    total, nulls, low = rows.agg(F.coalesce(F.sum(size), F.lit(0)), F.count_if(F.col("doc_id").isNull()), F.min("doc_id")).first()
+    buckets = max(1, min(BUCKETS, total // NEIGHBOURS))
     splitters: list[int] = []
     if buckets > 1:
-        found = rows.agg(F.percentile_approx("doc_id", [i / buckets for i in range(1, buckets)], 4 * buckets)).first()[0]
-        splitters = sorted(set(found or []) - {low})
+        sized = rows.withColumn("size", size)
+        splitters = [x for x in sampled_splitters(sized, "doc_id", "size", total, buckets, F.lit(5), "doc_id", "size") if x != low]
     # every splitter is an id: the first of its bucket, which the bucket before needs as the next of its last row
     bucket = F.when(F.col("doc_id").isNull(), 0).otherwise(_bucket("doc_id", splitters))
     leads = F.col("doc_id").isNull() if nulls else F.col("doc_id") == F.lit(low)

@@ -59,3 +59,22 @@ def test_huge_groups_of_one_id_or_none_are_divided(spark):
 
 def test_empty_table(spark):
     assert sharding.shards(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_buckets_are_those_of_a_bisection(spark):
+    from bisect import bisect_right
+
+    from strandex.llm.sharding import bucket
+
+    for n in (1, 2, 3, 7, 8, 9, 27, 64, 1000):
+        splitters = [3 * i - 50 for i in range(n)]
+        df = spark.createDataFrame([(x,) for x in [-(1 << 62), -51, -50, -49, 0, 1, 3 * n - 54, 3 * n - 53, 3 * n, 1 << 62, *range(-60, 3 * n, 17)]], "key long")
+        for r in df.withColumn("b", bucket("key", splitters)).collect():
+            assert r.b == bisect_right(splitters, r.key), (n, r.key)
+
+
+def test_extra_columns_and_tables_without_rows(spark):
+    docs = spark.createDataFrame([(1, "a", 5, 1), (None, None, 6, 2), (1, "a", 5, 1)], "doc_id long, text string, shard int, range int")
+    got = S.shards(docs, 2)
+    assert got.columns == ["doc_id", "size", "text_crc32", "shard", "slot"] and got.count() == 3
+    assert S.shards(docs.limit(0), 2).count() == 0
