@@ -64,16 +64,19 @@ def exponent(sources: DataFrame, total: int, count: int, entropy: float, repetit
     return max(by_entropy, narrowed(False, lambda r: scale(r) <= repetition + 1e-9))
 
 
-def mixture(docs: DataFrame, entropy: float = 0.95, repetition: float = 4.0, budget: int | None = None, block_tokens: int = 1 << 20, seed: int = 1, id: str = "doc_id", source: str = "source", text: str = "text") -> tuple[DataFrame, DataFrame]:
+def mixture(docs: DataFrame, entropy: float = 0.95, repetition: float = 4.0, budget: int | float | None = None, block_tokens: int = 1 << 20, seed: int = 1, id: str = "doc_id", source: str = "source", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """The mixed rows (row: struct of docs' columns, epoch, block, turn: an order that permutes the blocks of each
     epoch) and the table of sources (source, tokens, weight, quota, epochs, cutoff, bits).
 
-    budget: tokens of the mixture; None is the smallest budget with which each row is taken at least once."""
+    budget: tokens of the mixture (int), or their ratio to the tokens there are (float); None is the smallest budget with
+    which each row is taken at least once."""
     place = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id), F.col(text)), 1)
     narrow = written(docs.select(F.col(source).alias("s"), place.alias("place"), F.regexp_count(F.col(text), F.lit(r"\S+")).cast("long").alias("n")).withColumn("n", F.coalesce("n", F.lit(0))), "places")
     sources = written(narrow.groupBy("s").agg(F.sum("n").alias("tokens")), "sources")
     some = sources.where("tokens > 0")
     count, total = some.agg(F.count("*"), F.coalesce(F.sum("tokens"), F.lit(0))).first()
+    if isinstance(budget, float):
+        budget = round(budget * total)
     x = exponent(some, total, count, entropy, repetition, budget) if count else 1.0
     share = F.col("tokens") / F.lit(float(max(total, 1)))
     power = F.when(F.col("tokens") > 0, F.pow(share, F.lit(x))).otherwise(0.0)
@@ -86,7 +89,7 @@ def mixture(docs: DataFrame, entropy: float = 0.95, repetition: float = 4.0, bud
     planned = sources.select("s", "tokens", (power / F.lit(z or 1.0)).alias("weight"), F.when(F.col("tokens") > 0, quota).otherwise(0).alias("quota"))
     planned = planned.withColumn("epochs", F.when(F.col("tokens") > 0, F.floor(F.col("quota") / F.greatest("tokens", F.lit(1)))).otherwise(1).cast("long"))
     planned = planned.withColumn("rest", F.when(F.col("tokens") > 0, F.col("quota") - F.col("epochs") * F.col("tokens")).otherwise(0))
-    planned = planned.withColumn("bits", F.least(F.lit(20), F.ceil(F.log2(F.greatest(F.col("tokens") / block_tokens, F.lit(1.0))))).cast("int"))
+    planned = planned.withColumn("bits", F.least(F.lit(62), F.ceil(F.log2(F.greatest(F.col("tokens") / block_tokens, F.lit(1.0))))).cast("int"))
     planned = written(planned, "plan")
     n = planned.count()
 
@@ -113,7 +116,5 @@ def mixture(docs: DataFrame, entropy: float = 0.95, repetition: float = 4.0, bud
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As many tokens as there are, at 0.95 of the highest entropy, no source more than four times."""
-    docs = table(spark, sf_dir, "documents")
-    words = docs.agg(F.sum(F.regexp_count(F.col("text"), F.lit(r"\S+")).cast("long"))).first()[0]
-    rows, _ = mixture(docs, budget=words or 0)
+    rows, _ = mixture(table(spark, sf_dir, "documents"), budget=1.0)
     return rows.select("row.doc_id", "row.source", "epoch", "block", "turn", "weight")
