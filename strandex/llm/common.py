@@ -8,10 +8,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from ..storage import shared_dir, written
+from ..storage import dropped, shared_dir, written
 
-
-__all__ = ["shared_dir", "slices", "table", "utf8", "written"]
+__all__ = ["dropped", "shared_dir", "slices", "table", "utf8", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

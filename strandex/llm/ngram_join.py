@@ -12,6 +12,12 @@ d = (1 - t) / (1 + t) (|a| + |b|) differ, and their sizes differ by a factor 1 /
   levels with a common M; a set that can be linked to one of the level below is listed in both.
 * The boundary is the largest size up to which listing subsets costs no more than ranges and their chance meetings.
 
+Lists are then pruned, so that a passage that many documents share makes no list of all of them. Linked sets of one
+level agree in all but d of their ranges, so each needs to be found only on the d + 1 shortest of its lists (ties in
+the order of keys: both sets go by one order, and the first key they share is among those of both). Keys that no other
+set lists are the shortest lists: a set with more than d of them is linked with none and leaves all lists. Subsets, and
+ranges of sets that list their empty ranges too, are not pruned.
+
 Copies share a digest of the whole set and are one node from the start. On every list the smallest node is the
 centre; each other node is compared with it (a linear number of pairs), and links form components. Where pairs of
 nodes of different components are left on lists, and more of them than a few for each node, further rounds name other
@@ -22,7 +28,8 @@ differ) must allow a link; for unrelated documents that share a passage they don
 
 Sets without shingles (null, empty or blank texts) are linked with nothing. Rows with repeated ids are kept each.
 Equal sets are known by 64-bit digests, as shingles are by 64-bit hashes: distinct sets of a corpus of 10^9 documents
-meet with a probability under 0.03.
+meet with a probability under 0.03. An empty table gives no rows. Of other columns, whatever their names, only
+without_near_copies makes use: it keeps them. Long texts are sets like others, a batch of texts at a time.
 """
 
 from __future__ import annotations
@@ -35,15 +42,15 @@ from math import comb, exp
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, utf8, written
+from .common import dropped, table, utf8, written
 from .components import components
 from .words import mix, shingles
 
 #: Ids that a node's text is fetched for by a broadcast table at most; above, by a shuffled join.
-BROADCAST_IDS = 2_000_000
+BROADCAST_IDS = 1_000_000
 #: Bits of a set's folded form at least.
 BITS = 1024
 #: Further rounds of stars at most.
@@ -122,26 +129,31 @@ def plan(p: int, q: int) -> Plan:
     return Plan(p, q)
 
 
-def keys(hashes: np.ndarray, plan: Plan) -> np.ndarray:
-    """The list keys of a set, its ascending hashes given."""
+def keys(hashes: np.ndarray, plan: Plan) -> tuple[np.ndarray, list[int]]:
+    """The list keys of a set, its ascending hashes given: first those of its own level and of the one below that may be
+    pruned, and how many these are, then all others."""
     n = len(hashes)
     scrambled = mix(hashes ^ np.uint64(0xD1B54A32D192ED03))
-    out = []
+    pruned, whole = [], []
     if n * plan.p <= plan.boundary * plan.q:
         total = scrambled.sum(dtype=np.uint64)
         for c in plan.subsets(n):
             if c <= n:
                 gone = np.array([scrambled[list(x)].sum(dtype=np.uint64) if x else np.uint64(0) for x in combinations(range(n), n - c)], np.uint64)
-                out.append(mix(mix(total - gone) + np.uint64(c)))
+                whole.append(mix(mix(total - gone) + np.uint64(c)))
     if levels := plan.listed(n):
         summed = np.concatenate([[np.uint64(0)], np.cumsum(scrambled)])
-        for x in levels:
+        for x in levels[::-1]:
             part = ((hashes >> np.uint64(32)) * np.uint64(x.ranges)) >> np.uint64(32)
             at = np.searchsorted(part, np.arange(x.ranges + 1, dtype=np.uint64))
             full = at[1:] > at[:-1]
             digests = mix(mix(summed[at[1:]] - summed[at[:-1]]) + (np.uint64(x.number + 1) << np.uint64(40)) + np.arange(x.ranges, dtype=np.uint64))
-            out.append(digests[full] if full.sum() > plan.differing(n, n * plan.q // plan.p) else digests)
-    return np.concatenate(out) if out else hashes[:0]
+            if full.sum() > plan.differing(n, n * plan.q // plan.p):
+                pruned.append(digests[full])
+            else:
+                whole.append(digests)
+    sizes = [len(x) for x in pruned]
+    return np.concatenate([hashes[:0], *pruned, *whole]), sizes + [0] * (2 - len(sizes))
 
 
 def parity(hashes: np.ndarray) -> np.ndarray:
@@ -168,15 +180,15 @@ def _may_link(p: int, q: int) -> F.Column:
 
 
 def profiles(docs: DataFrame, id: str, text: str, k: int, p: int, q: int) -> DataFrame:
-    """id, hash (of the text), row (a number), n (shingles), digest (of the set), bits, keys of every row; keys only for
-    the first row of a digest that a task meets."""
+    """id, hash (of the text), row (a number), n (shingles), digest (of the set), bits, and keys, of which the first n0
+    and the n1 after them may be pruned, of every row; keys only for the first row of a digest that a task meets."""
 
     def of(batches):
         own, seen = plan(p, q), set()
         row = TaskContext.get().partitionId() << 36
         for batch in batches:
             body, offsets = utf8(batch.column(1))
-            sizes, nodes, folded, listed, ends = [], [], [], [], [0]
+            sizes, nodes, folded, listed, ends, prunable = [], [], [], [], [0], []
             first, row = row, row + batch.num_rows
             for h in shingles(body, offsets, k):
                 digest = int(mix(mix(h).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(h)))[0])
@@ -185,16 +197,18 @@ def profiles(docs: DataFrame, id: str, text: str, k: int, p: int, q: int) -> Dat
                     if len(seen) >= REMEMBERED:
                         seen.clear()
                     seen.add(digest)
-                    listed.append(keys(h, own))
+                    found, counts = keys(h, own)
+                    listed.append(found)
+                prunable.append(counts if fresh else [0, 0])
                 sizes.append(len(h))
                 folded.append(parity(h))
                 nodes.append(digest)
                 ends.append(ends[-1] + (len(listed[-1]) if fresh else 0))
             flat = np.concatenate(listed).view(np.int64) if listed else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(np.arange(first, row)), pa.array(sizes, pa.int64()), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, folded)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *folded]))), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], ["id", "hash", "row", "n", "digest", "bits", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(np.arange(first, row)), pa.array(sizes, pa.int64()), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, folded)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *folded]))), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)), *(pa.array([x[i] for x in prunable], pa.int32()) for i in (0, 1))], ["id", "hash", "row", "n", "digest", "bits", "keys", "n0", "n1"])
 
     kind = docs.schema[id].dataType.simpleString()
-    return docs.select(F.col(id).alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("hash")).mapInArrow(of, f"id {kind}, hash long, row long, n long, digest long, bits array<long>, keys array<long>")
+    return docs.select(F.col(id).alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("hash")).mapInArrow(of, f"id {kind}, hash long, row long, n long, digest long, bits array<long>, keys array<long>, n0 int, n1 int")
 
 
 def _linked(pairs: DataFrame, texts: DataFrame, k: int, p: int, q: int) -> DataFrame:
@@ -265,19 +279,38 @@ def without_near_copies(docs: DataFrame, k: int = 5, p: int = 4, q: int = 5, id:
     return once.select("row.*").unionByName(whole.where("blank").select("row.*"))
 
 
+def _pruned(lists: DataFrame, nodes: DataFrame, p: int, q: int) -> DataFrame:
+    """key, node of the lists (key, node, level, size) on which nodes have to be found; see above. level: 0 own, 1 the one
+    below, 2 not pruned."""
+    known = lists.join(nodes.select("node", "n", "n0", "n1"), "node")
+    differing = F.expr(f"({q - p} * (n + n * {q} div {p})) div {q + p}")
+    own = Window.partitionBy("node", "level")
+    alone = F.when(F.col("level") == 0, F.col("n0")).otherwise(F.col("n1")) - F.count("*").over(own)
+    ranked = known.withColumn("left", differing + 1 - alone).withColumn("rank", F.row_number().over(own.orderBy("size", "key")))
+    return ranked.where((F.col("level") == 2) | (F.col("rank") <= F.col("left"))).select("key", "node")
+
+
 def _labelled(docs: DataFrame, k: int, p: int, q: int, id: str, text: str) -> DataFrame:
     """id, hash, n, label (of the component) of every row."""
-    rows = written(profiles(docs, id, text, k, p, q), "profiles")
-    some = rows.where("n > 0")
-    # a node is the smallest row number of a digest that lists keys
-    nodes = some.groupBy("digest").agg(F.min(F.when(F.size("keys") >= 0, F.struct("row", "n", "bits"))).alias("first"), F.min(F.struct("id", "hash")).alias("at"))
-    nodes = written(nodes.select("digest", F.col("first.row").alias("node"), F.col("first.n").alias("n"), F.col("first.bits").alias("bits"), "at"), "nodes")
+    profiled = written(profiles(docs, id, text, k, p, q), "profiles")
+    rows = written(profiled.select("id", "hash", "n", "digest"), "rows")
+    some = profiled.where("n > 0")
+    # a node is the smallest row number of a digest; the first row of a digest in a task lists keys
+    nodes = some.groupBy("digest").agg(F.min(F.struct("row", "n", "n0", "n1", "bits")).alias("first"), F.min(F.struct("id", "hash")).alias("at"))
+    nodes = written(nodes.select("digest", F.col("first.row").alias("node"), "first.n", "first.n0", "first.n1", "first.bits", "at"), "nodes")
     repeats = written(some.where(F.size("keys") > 0).select("row", "digest").join(nodes.select("digest", "node"), "digest").where("row <> node").select("row"), "repeats")
-    keyed = some.where(F.size("keys") > 0).select("row", "keys").join(F.broadcast(repeats) if repeats.count() <= BROADCAST_IDS else repeats, "row", "left_anti")
-    # one shuffle serves the lists' centres and their members
-    listed = keyed.select(F.col("row").alias("node"), F.explode("keys").alias("key")).repartition("key")
-    shared = listed.groupBy("key").agg(F.min("node").alias("centre"), F.max("node").alias("most")).where("centre <> most").select("key", "centre")
-    members = written(listed.join(shared, "key").where("node <> centre").distinct(), "lists")
+    keyed = some.where(F.size("keys") > 0).select("row", "n0", "n1", "keys").join(F.broadcast(repeats) if repeats.count() <= BROADCAST_IDS else repeats, "row", "left_anti")
+    level = F.when(F.col("pos") < F.col("n0"), 0).when(F.col("pos") < F.col("n0") + F.col("n1"), 1).otherwise(2).cast("byte")
+    # one shuffle serves the lists' sizes and their members
+    listed = keyed.select(F.col("row").alias("node"), "n0", "n1", F.posexplode("keys").alias("pos", "key")).select("node", "key", level.alias("level")).repartition("key")
+    shared = listed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("size")).where("low <> high").select("key", "size")
+    all_ = written(listed.join(shared, "key"), "lists")
+    dropped(profiled, repeats)
+    kept = written(_pruned(all_, nodes, p, q).distinct(), "pruned")
+    dropped(all_)
+    centres = kept.groupBy("key").agg(F.min("node").alias("centre"), F.max("node").alias("most")).where("centre <> most").select("key", "centre")
+    members = written(kept.join(centres, "key").where("node <> centre"), "members")
+    dropped(kept)
 
     centred = members.select(F.col("centre").alias("a"), F.col("node").alias("b"))
     pairs, links = _compared(docs, id, text, centred, nodes, k, p, q)
@@ -285,8 +318,10 @@ def _labelled(docs: DataFrame, k: int, p: int, q: int, id: str, text: str) -> Da
 
     # all nodes of each list; from round to round only lists that still have nodes of different components
     lists = members.select("key", "node").union(members.select("key", "centre")).distinct()
+    used: list[DataFrame] = []
     for turn in range(STARS):
         lists = _named(lists, labels)
+        used.append(lists)
         # first the node that is on most lists: edits take a copy off some of its original's. Then others by chance.
         if turn == 0:
             ranked = lists.join(lists.groupBy("node").agg((-F.count("*")).alias("rank")), "node")
@@ -299,6 +334,8 @@ def _labelled(docs: DataFrame, k: int, p: int, q: int, id: str, text: str) -> Da
         if left <= few:
             break
         stars = written(lists.join(open_.select("key", "centre", "top"), "key"), "stars")
+        dropped(*used, open_)
+        used = [stars]
         star = stars.where("label <> top").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"))
         done, found = _compared(docs, id, text, star.join(pairs, ["a", "b"], "left_anti"), nodes, k, p, q)
         pairs = pairs.union(done)
@@ -316,6 +353,7 @@ def _labelled(docs: DataFrame, k: int, p: int, q: int, id: str, text: str) -> Da
     _, found = _compared(docs, id, text, more.join(pairs, ["a", "b"], "left_anti"), nodes, k, p, q)
     if not found.isEmpty():
         labels = components(links.union(found))
+    dropped(members, *used)
     named = nodes.select("digest", "node").join(labels, "node", "left").select("digest", F.coalesce("label", "node").alias("label"))
     return rows.select("id", "hash", "n", "digest").join(named, "digest", "left").select("id", "hash", "n", "label")
 

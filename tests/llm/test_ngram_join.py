@@ -89,4 +89,33 @@ def test_linked_sets_share_a_key(p, q):
         pool = np.unique(rng.integers(0, 1 << 63, a + b, dtype=np.uint64))[: a + b - o]
         rng.shuffle(pool)
         x, y = np.sort(pool[:a]), np.sort(pool[a - o : a - o + b])
-        assert set(ngram_join.keys(x, plan).tolist()) & set(ngram_join.keys(y, plan).tolist())
+        assert set(ngram_join.keys(x, plan)[0].tolist()) & set(ngram_join.keys(y, plan)[0].tolist())
+
+
+def test_a_passage_of_all_documents_makes_no_list_of_all(spark):
+    """Documents that share a passage and are linked with none leave all lists; near copies among them stay linked."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(9)
+    passage = [f"p{i}" for i in range(60)]
+    rows = []
+    for i in range(3000):
+        own = [f"w{rng.randrange(50_000)}" for _ in range(60)]
+        rows.append((i, " ".join(own + passage)))
+    for i in range(0, 300, 10):
+        words = rows[i][1].split(" ")
+        words[rng.randrange(60)] = "edited"
+        rows.append((len(rows), " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.id: r.component for r in ngram_join.jaccard_components(docs).collect()}
+    want = {i: i for i in range(3000)} | {3000 + j: 10 * j for j in range(30)}
+    assert got == want
+    profiles = ngram_join.profiles(docs, "doc_id", "text", 5, 4, 5).persist()
+    nodes = profiles.select(F.col("row").alias("node"), "n", "n0", "n1")
+    listed = profiles.select(F.col("row").alias("node"), "n0", F.posexplode("keys").alias("pos", "key")).withColumn("level", F.when(F.col("pos") < F.col("n0"), 0).otherwise(1))
+    sizes = listed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    shared = listed.join(sizes, "key").select("key", "node", "level", "size")
+    assert sizes.agg(F.max("size")).first()[0] >= 500  # the ranges with nothing but the passage
+    left = ngram_join._pruned(shared, nodes, 4, 5).groupBy("key").count().agg(F.max("count")).first()[0]
+    assert left <= 3
+    profiles.unpersist()

@@ -75,6 +75,6 @@ def test_buckets_are_those_of_a_bisection(spark):
 
 def test_extra_columns_and_tables_without_rows(spark):
     docs = spark.createDataFrame([(1, "a", 5, 1), (None, None, 6, 2), (1, "a", 5, 1)], "doc_id long, text string, shard int, range int")
-    got = S.shards(docs, 2)
+    got = sharding.shards(docs, 2)
     assert got.columns == ["doc_id", "size", "text_crc32", "shard", "slot"] and got.count() == 3
-    assert S.shards(docs.limit(0), 2).count() == 0
+    assert sharding.shards(docs.limit(0), 2).count() == 0
