@@ -8,8 +8,14 @@ it has none, so that a page with little text, or long comments, still gives the
 
 Blocks are what block elements hold directly; character references are decoded, white space becomes one space, blocks
 are joined by an empty line. Menus, headers, footers, side bars, notices, adverts, forms, comments, scripts and styles
-are left out by element and by the words of class and id. Null or empty pages give an empty text; pages without a url
-vote together as the empty host. Rows with repeated ids are extracted each.
+are left out by element, role and the words of class and id. Some of these words may name a part of an article and
+count outside of one only; an element that also has a word for articles stays if it holds half of the page's text.
+Malformed tags are tags up to their '>' (or the page's end), never text.
+
+Null or empty pages, and pages without an article, give an empty text; pages without a url vote together as the empty
+host; ties between paths go to the higher score, then to the first path. Rows with repeated or null ids are extracted
+each; an empty table gives no rows; columns other than id, url and html are not read, whatever their names. Very long
+pages are read whole.
 """
 
 from __future__ import annotations
@@ -24,13 +30,18 @@ from pyspark.sql import functions as F
 
 from .common import table, written
 
-#: Hosts whose winning paths are broadcast at most; above, pages are joined with them by a shuffle.
-BROADCAST_HOSTS = 300_000
+#: Hosts, and bytes, whose winning paths are broadcast at most; above, pages are joined with them by a shuffle, in which
+#: the adaptive planner splits hot hosts.
+BROADCAST_HOSTS, BROADCAST_BYTES = 300_000, 1 << 26
 #: Share of a host's votes from which a path wins.
 WINS = 0.05
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][\w:-]*)((?:[^<>"']|"[^"]*"|'[^']*')*)>""", re.S)
-_NAMED = re.compile(r"""\b(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
+#: Between paths' steps; no class holds it, as it counts as white space.
+_STEP = "\x1f"
+# quotes only count behind '='; what a page's end cuts off is a tag, too
+_ATTRIBUTES = r"""(?:[^>"'=]++|=\s*+(?:"[^"]*+"|'[^']*+'|[^\s"'>][^\s>]*+)|[="'])*+"""
+_TOKEN = re.compile(rf"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|</[^a-zA-Z>][^>]*+(?:>|\Z)|</>|<(/?)([a-zA-Z][^\s/>]*+)({_ATTRIBUTES})(?:>|\Z)""", re.S)
+_ATTRIBUTE = re.compile(r"""([^\s=>"'/]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _RAW = {"script", "style", "noscript", "template", "textarea", "title", "svg", "iframe", "object", "math", "canvas", "xmp", "noframes"}
 _VOID = {"br", "hr", "img", "input", "meta", "link", "wbr", "area", "base", "col", "embed", "source", "track", "param"}
@@ -45,34 +56,48 @@ _WORDS_LEFT_OUT = set(
     social share sharing related recommended recommendations comment comments respond disqus discussion replies reply
     search searchbox pagination pager copyright legal form""".split()
 )
+#: Of these, what may also name a part of an article, where it stands inside one.
+_WORDS_OF_ARTICLES = {"legal", "copyright", "notice", "notices", "alert", "notification", "form", "search", "discussion", "menu", "menus", "banner", "promotion"}
+#: Words of class and id that name an article.
+_WORDS_KEPT = {"article", "post", "entry", "content", "story", "main", "text", "body", "page", "blog"}
 _ROLES_LEFT_OUT = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "menu", "menubar", "dialog", "alert", "alertdialog"}
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 
 
 class Block:
-    __slots__ = ("text", "linked", "path")
+    __slots__ = ("text", "linked", "path", "perhaps")
 
-    def __init__(self, text: str, linked: int, path: tuple[str, ...]):
-        self.text, self.linked, self.path = text, linked, path
+    def __init__(self, text: str, linked: int, path: tuple[str, ...], perhaps: tuple[int, ...] = ()):
+        self.text, self.linked, self.path, self.perhaps = text, linked, path, perhaps
 
 
 @lru_cache(maxsize=20_000)
-def _element(tag: str, attributes: str) -> tuple[str, bool, bool]:
-    """An element's step in a path; whether it is left out; whether it is a header, which an article may keep."""
-    found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _NAMED.finditer(attributes)} if attributes else {}
+def _element(tag: str, attributes: str) -> tuple[str, str, bool]:
+    """An element's step in a path; why it is left out ("" not, "tag" for good, "inside" unless in an article, "word" by
+    a word, "both" by a word beside one that names an article); whether it is a header, which an article may keep."""
+    found: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(attributes):
+        found.setdefault(m[1].lower(), unescape(m[2] or m[3] or m[4] or ""))
     classes = re.sub(r"\d+", "#", ".".join(sorted(found.get("class", "").split())))
     step = f"{tag}.{classes}" if classes and tag not in ("html", "body") else tag
     words = {w.lower() for w in _WORD.findall(found.get("class", "") + " " + found.get("id", ""))}
     hidden = "hidden" in found or found.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", found.get("style", ""), re.I)
     header = tag == "header" or bool(words & {"header", "top"})
-    out = tag not in _WHOLE and (tag in _LEFT_OUT or bool(words & _WORDS_LEFT_OUT) or found.get("role", "").lower() in _ROLES_LEFT_OUT or bool(hidden))
-    return step, out, header and tag not in _WHOLE
+    why, out = "", words & _WORDS_LEFT_OUT
+    if tag not in _WHOLE:
+        if tag in _LEFT_OUT or found.get("role", "").lower() in _ROLES_LEFT_OUT or hidden:
+            why = "tag"
+        elif out:
+            why = "both" if words & _WORDS_KEPT else "inside" if out <= _WORDS_OF_ARTICLES else "word"
+    return step, why, header and tag not in _WHOLE
 
 
 def blocks(html: str) -> list[Block]:
     """The blocks of text that may belong to an article, in page order, with the paths of the elements around."""
     out: list[Block] = []
-    stack: list[tuple[str, str, bool]] = []  # tag, step, left out
+    stack: list[tuple[str, str, bool, tuple[int, ...]]] = []  # tag, step, left out, elements around that may be left out
+    weights: dict[int, int] = {}  # characters in each of these
+    named = 0
     parts: list[str] = []
     linked = at = links = 0
 
@@ -81,7 +106,10 @@ def blocks(html: str) -> list[Block]:
         if parts:
             text = " ".join(unescape("".join(parts)).split())
             if text and not (stack and stack[-1][2]):
-                out.append(Block(text, min(linked, len(text)), tuple(s for _, s, _ in stack)))
+                perhaps = stack[-1][3] if stack else ()
+                for e in perhaps:
+                    weights[e] = weights.get(e, 0) + len(text)
+                out.append(Block(text, min(linked, len(text)), tuple(x[1] for x in stack), perhaps))
             parts.clear()
         linked = 0
 
@@ -97,7 +125,7 @@ def blocks(html: str) -> list[Block]:
         at = m.end()
         if not m[2]:
             if m[0].startswith("<![CDATA["):
-                add(m[0][9:-3])
+                add(m[0][9:].removesuffix("]]>"))
             continue
         tag = m[2].lower()
         if m[1]:
@@ -125,13 +153,20 @@ def blocks(html: str) -> list[Block]:
                 stack.pop()
             while stack and stack[-1][0] in _CLOSES.get(tag, ()):
                 stack.pop()
-            step, left_out, header = _element(tag, m[3])
-            if header and not any(t in ("article", "main") for t, _, _ in stack):
-                left_out = True
-            stack.append((tag, step, left_out or bool(stack and stack[-1][2])))
+            step, why, header = _element(tag, m[3])
+            inside = any(x[0] in ("article", "main") for x in stack)
+            left_out = why in ("tag", "word") or (why == "inside" or header) and not inside
+            perhaps = stack[-1][3] if stack else ()
+            if why == "both" and not left_out:
+                named += 1
+                perhaps = (*perhaps, named)
+            stack.append((tag, step, left_out or bool(stack and stack[-1][2]), perhaps))
     add(html[at:])
     end()
-    return out
+    # an element with a word for either side is left out unless that takes half of the page
+    total = sum(len(b.text) for b in out)
+    gone = {e for e, n in weights.items() if 2 * n < total}
+    return [b for b in out if not gone.intersection(b.perhaps)] if gone else out
 
 
 def _containers(path: tuple[str, ...]) -> list[tuple[str, ...]]:
@@ -162,7 +197,7 @@ def votes(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
         for batch in batches:
             rows = [(h, *best_container(blocks(t))) for h, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if t]
             rows = [r for r in rows if r[2] > 0]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([">".join(r[1]) for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.float64())], ["host", "path", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([_STEP.join(r[1]) for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.float64())], ["host", "path", "score"])
 
     return pages.select(_host(url).alias("host"), F.col(html).alias("html")).mapInArrow(vote, "host string, path string, score double")
 
@@ -181,7 +216,7 @@ def winning_paths(pages: DataFrame, url: str = "url", html: str = "html") -> Dat
 def main_text(html: str, paths: list[str]) -> str:
     found = blocks(html)
     for path in paths:
-        steps = tuple(path.split(">")) if path else ()
+        steps = tuple(path.split(_STEP)) if path else ()
         inside = [b.text for b in found if b.path[: len(steps)] == steps]
         if inside:
             return "\n\n".join(inside)
@@ -192,7 +227,8 @@ def main_text(html: str, paths: list[str]) -> str:
 def extracted(pages: DataFrame, id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """page_id, url, text, n_chars of each row of pages."""
     winners = written(winning_paths(pages, url, html), "paths").withColumnRenamed("host", "host_")
-    few = winners.count() <= BROADCAST_HOSTS
+    hosts, size = winners.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(F.concat_ws("", "host_", F.array_join("paths", "")))), F.lit(0))).first()
+    few = hosts <= BROADCAST_HOSTS and size <= BROADCAST_BYTES
 
     def extract(batches):
         for batch in batches:
