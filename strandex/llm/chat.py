@@ -5,27 +5,35 @@ assistant. Each input turn is kept, relabelled, or merged into the turn before;
 and at the end. Dynamic programming over the automaton of legal turns finds the cheapest choice (costs below; of equal
 ones the first of: keep or relabel without insertion, with insertion, merge; then the earliest role of ROLES).
 
-Conversations are cut into blocks of turn numbers. A block is a matrix of costs from each state before it to each
-state behind it, these are multiplied in the (min, +) sense along a conversation, and then each block is solved on its
-own between the states that the whole path passes; so a very long conversation spreads over many tasks, and results
-don't depend on the block size. Turns stand in order of their number (null first), then role, then text; rows that
-share a number stay in one block. Unknown and null roles must be relabelled; null texts are empty; a null conversation
-is one of its own. Each row gives one row, with its part of the rendered conversation: the parts in order are the whole.
+Turns stand in order of their number (null first), then role, then a hash of the text; equal rows follow each other. All turns are
+numbered in that order, conversation by conversation, and cut into blocks of BLOCK. A block is a matrix of costs from
+each state before it to each state behind it, these are multiplied in the (min, +) sense along a conversation, and then
+each block is solved on its own between the states that the whole path passes; so a very long conversation, or one whose
+turns have no numbers, spreads over many tasks, and results don't depend on where blocks are cut.
+
+A text that holds a marker of turns can't open or close one: each marker in it gets a backslash behind its '<', and one
+that has backslashes there one more, so that texts can be read back. Unknown and null roles must be relabelled; null and
+empty texts are empty; a null conversation is one of its own, ids may be of any type. Each row, repeated ones too, gives
+one row, with its part of the rendered conversation: the parts in order of `place` are the whole. An empty table gives
+no rows; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.ordered import numbered
 from .common import table, written
 
 ROLES = ("system", "user", "assistant")
 #: Costs: another role, an inserted empty turn, a merge of equal roles, a merge of other roles.
 RELABEL, INSERT, MERGE, MERGE_OTHER = 4, 3, 1, 4
-#: Turn numbers in a block.
+#: Turns in a block.
 BLOCK = 512
 _START, _NONE = 3, 1 << 40
 #: States are the last role (0 to 2), or 3 before the first turn. Roles to insert between a state and a role.
@@ -108,12 +116,20 @@ def _turn(role: str, text: str, closed: bool = True) -> str:
     return f"<|im_start|>{role}\n{text}" + ("<|im_end|>\n" if closed else "")
 
 
+_MARKER = re.compile(r"<(\\*\|im_(?:start|end)\|>)")
+
+
+def escaped(text: str) -> str:
+    """text without markers of turns."""
+    return _MARKER.sub(r"<\\\1", text)
+
+
 def _rendered(roles: list, texts: list, before: int, behind: int, first: bool, last: bool):
     """action, role, part of the rendered conversation and cost of each turn of a block."""
     moves = solve(roles, before, behind)
     out = []
     for i, (text, (_, to, cost, action, inserted)) in enumerate(zip(texts, moves, strict=True)):
-        text = text or ""
+        text = escaped(text or "")
         if action == "merge":
             part = "\n\n" + text
         else:
@@ -125,50 +141,55 @@ def _rendered(roles: list, texts: list, before: int, behind: int, first: bool, l
     return out
 
 
+#: So that ids that are times keep their fractions as text.
+_JSON = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+
+
 def repaired(turns: DataFrame, conversation: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", block: int = BLOCK) -> DataFrame:
-    """conv_id, turn, role, place (in its block), action, new_role, rendered, cost of each row of turns."""
+    """conv_id, turn, role, place (in its conversation, from 0), action, new_role, rendered, cost of each row of turns."""
     rows = turns.select(F.col(conversation).alias("conv"), F.col(turn).cast("long").alias("turn"), F.col(role).alias("role"), F.col(text).alias("text"))
-    rows = rows.withColumn("block", F.coalesce(F.floor(F.col("turn") / block), F.lit(-(1 << 62))).cast("long"))
     kind = rows.schema["conv"].dataType.simpleString()
     # any type of id, null too, travels as text
-    rows = rows.withColumn("conv", F.struct("conv")).withColumn("key", F.to_json("conv"))
+    rows = rows.select(F.to_json(F.struct("conv"), _JSON).alias("key"), "turn", "role", "text").withColumn("hash", F.xxhash64("text")).withColumn("salt", F.monotonically_increasing_id())
+    # no whole text in the order: the planner draws samples of what rows are ordered by
+    narrow = numbered(rows, ["key", "turn", "role", "hash", "salt"], "at").drop("hash", "salt").withColumn("block", F.floor(F.col("at") / block).cast("long"))
 
     def matrix(batches):
         for batch_of in _grouped(batches, ["key", "block"]):
-            rows = [(*g, transfer(roles).ravel().tolist()) for g, (roles,) in batch_of]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.string(), pa.int64(), pa.list_(pa.int64())))], ["key", "block", "costs"])
+            rows = [(*g, len(roles), transfer(roles).ravel().tolist()) for g, (roles,) in batch_of]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int64())))], ["key", "block", "n", "costs"])
 
     def path(batches):
         for batch_of in _grouped(batches, ["key"]):
             rows = []
-            for (key,), (blocks_, costs) in batch_of:
+            for (key,), (blocks_, sizes, costs) in batch_of:
                 states, _ = best_path([np.array(c).reshape(4, 4) for c in costs])
-                n = len(blocks_)
-                rows += [(key, b, states[i], states[i + 1], i == 0, i + 1 == n) for i, b in enumerate(blocks_)]
-            kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["key", "block", "before", "behind", "first", "last"])
+                n, start = len(blocks_), 0
+                for i, b in enumerate(blocks_):
+                    rows.append((key, b, states[i], states[i + 1], i == 0, i + 1 == n, start))
+                    start += sizes[i]
+            kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["key", "block", "before", "behind", "first", "last", "start"])
 
     def render(batches):
         for batch_of in _grouped(batches, ["key", "block"]):
             rows = []
-            for (key, _), (_, turns_, roles, texts, before, behind, first, last) in batch_of:
+            for (key, _), (_, turns_, roles, texts, before, behind, first, last, start) in batch_of:
                 done = _rendered(roles[1:], texts[1:], before[0], behind[0], first[0], last[0])
-                rows += [(key, t, r, i, *d) for i, (t, r, d) in enumerate(zip(turns_[1:], roles[1:], done, strict=True))]
+                rows += [(key, t, r, start[0] + i, *d) for i, (t, r, d) in enumerate(zip(turns_[1:], roles[1:], done, strict=True))]
             kinds = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["key", "turn", "role", "place", "action", "new_role", "rendered", "cost"])
 
-    narrow = rows.select("key", "block", "turn", "role", "text")
-    order = ["key", "block", "turn", "role", "text"]
-    roles = narrow.repartition("key", "block").sortWithinPartitions(*order).select("key", "block", "role")
-    blocks = written(roles.mapInArrow(matrix, "key string, block long, costs array<long>"), "matrices")
-    paths = blocks.repartition("key").sortWithinPartitions("key", "block").mapInArrow(path, "key string, block long, before long, behind long, first boolean, last boolean")
+    roles = narrow.select("key", "block", "at", "role").repartition("key", "block").sortWithinPartitions("key", "block", "at").select("key", "block", "role")
+    blocks = written(roles.mapInArrow(matrix, "key string, block long, n long, costs array<long>"), "matrices")
+    paths = blocks.repartition("key").sortWithinPartitions("key", "block").mapInArrow(path, "key string, block long, before long, behind long, first boolean, last boolean, start long")
     # a block's states come as a row before its turns, so that one shuffle brings both together
-    paths = paths.select("key", "block", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("turn"), F.lit(None).cast("string").alias("role"), F.lit(None).cast("string").alias("text"), "before", "behind", "first", "last")
-    none = (F.lit(None).cast(k).alias(c) for c, k in (("before", "long"), ("behind", "long"), ("first", "boolean"), ("last", "boolean")))
-    both = paths.unionByName(narrow.select("key", "block", F.lit(1).alias("kind"), "turn", "role", "text", *none))
-    both = both.repartition("key", "block").sortWithinPartitions("key", "block", "kind", "turn", "role", "text")
+    paths = paths.select("key", "block", F.lit(-1).cast("long").alias("at"), F.lit(None).cast("long").alias("turn"), F.lit(None).cast("string").alias("role"), F.lit(None).cast("string").alias("text"), "before", "behind", "first", "last", "start")
+    none = (F.lit(None).cast(k).alias(c) for c, k in (("before", "long"), ("behind", "long"), ("first", "boolean"), ("last", "boolean"), ("start", "long")))
+    both = paths.unionByName(narrow.select("key", "block", "at", "turn", "role", "text", *none))
+    both = both.repartition("key", "block").sortWithinPartitions("key", "block", "at")
     done = both.mapInArrow(render, "key string, turn long, role string, place long, action string, new_role string, rendered string, cost long")
-    return done.select(F.from_json("key", f"conv {kind}")["conv"].alias("conv_id"), "turn", "role", "place", "action", "new_role", "rendered", "cost")
+    return done.select(F.from_json("key", f"conv {kind}", _JSON)["conv"].alias("conv_id"), "turn", "role", "place", "action", "new_role", "rendered", "cost")
 
 
 def _grouped(batches, by: list[str]):
