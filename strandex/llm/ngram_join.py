@@ -22,7 +22,9 @@ Copies share a digest of the whole set and are one node from the start. On every
 centre; each other node is compared with it (a linear number of pairs), and links form components. Where pairs of
 nodes of different components are left on lists, and more of them than a few for each node, further rounds name other
 centres: first nodes that are on most lists (edits take a copy off some of its original's), then others by chance.
-All pairs of different components that are left on a list then are compared as well, so that components are exact.
+Where many are left all the same, the lists are those of a passage that unlinked documents share; their nodes are
+listed anew by single shingles, again only the rarest that linked sets can't all differ in. All pairs of different
+components that are left on a list then are compared as well, so that components are exact.
 Before texts are read again to compare a pair, its sizes and a folded form of its sets (a bound on how many shingles
 differ) must allow a link; for unrelated documents that share a passage they don't.
 
@@ -228,24 +230,43 @@ def _linked(pairs: DataFrame, texts: DataFrame, k: int, p: int, q: int) -> DataF
     return two.select("a", "b", "text_a", "text_b").mapInArrow(compare, "a long, b long, linked boolean")
 
 
-def _texts(docs: DataFrame, id: str, text: str, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node, text of the nodes in pairs, each read from one of its rows."""
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes, "node").select("node", "at.*")
-    wanted = written(wanted, "wanted")
+def _texts(docs: DataFrame, id: str, text: str, wanted: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, text of the nodes wanted (node), each read from one of its rows."""
+    wanted = written(wanted.distinct().join(nodes, "node").select("node", "at.*"), "wanted")
     n = wanted.count()
     all_texts = docs.select(F.col(id).alias("id_"), F.col(text).alias("text"), F.xxhash64(text).alias("hash_"))
     found = all_texts.join(F.broadcast(wanted) if n <= BROADCAST_IDS else wanted, F.col("id_").eqNullSafe(F.col("id")) & (F.col("hash_") == F.col("hash")))
     return found.groupBy("node").agg(F.first("text").alias("text"))
 
 
+def _refined(texts: DataFrame, nodes: DataFrame, k: int, p: int, q: int) -> DataFrame:
+    """key, node: the lists of single shingles on which linked sets among texts (node, text) meet: those of a set's
+    rarest n - ceil(p n / q) + 1 shingles that other sets have, too."""
+
+    def single(batches):
+        for batch in batches:
+            for node, h in zip(batch.column(0).to_pylist(), shingles(*utf8(batch.column(1)), k), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), node, np.int64)), pa.array(h.view(np.int64))], ["node", "key"])
+
+    every = written(texts.select("node", "text").mapInArrow(single, "node long, key long"), "shingles")
+    sizes = written(every.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
+    own = Window.partitionBy("node")
+    shared = every.join(sizes, "key").join(nodes.select("node", "n"), "node")
+    # shingles that no other set has are rarest, and on no list
+    left = F.expr(f"n - (n * {p} + {q - 1}) div {q} + 1") - (F.col("n") - F.count("*").over(own))
+    ranked = shared.withColumn("left", left).withColumn("rank", F.row_number().over(own.orderBy("size", "key")))
+    out = written(ranked.where(F.col("rank") <= F.col("left")).select("key", "node"), "refined")
+    dropped(every, sizes)
+    return out
+
+
 def jaccard_components(docs: DataFrame, k: int = 5, p: int = 4, q: int = 5, id: str = "doc_id", text: str = "text") -> DataFrame:
     """id, n (shingles), component (its smallest id) for every row of docs; links are at similarity p / q or more.
 
     A row's id may be null or repeated: such rows are linked by their texts like all others, the component being the
     smallest id that is not null. Other columns of docs are not read."""
     marked = _labelled(docs, k, p, q, id, text)
-    lowest = marked.where("n > 0").groupBy("label").agg(F.min("id").alias("low"))
-    return marked.join(lowest, "label", "left").select("id", "n", F.when(F.col("n") > 0, F.col("low")).otherwise(F.col("id")).alias("component"))
+    return marked.select("id", "n", F.when(F.col("n") > 0, F.col("low")).otherwise(F.col("id")).alias("component"))
 
 
 def _compared(docs: DataFrame, id: str, text: str, candidates: DataFrame, nodes: DataFrame, k: int, p: int, q: int) -> tuple[DataFrame, DataFrame]:
@@ -254,7 +275,7 @@ def _compared(docs: DataFrame, id: str, text: str, candidates: DataFrame, nodes:
     pairs = written(candidates.distinct().join(size_a, "a").join(size_b, "b").where(_may_link(p, q)).select("a", "b"), "pairs")
     if pairs.isEmpty():
         return pairs, pairs
-    return pairs, written(_linked(pairs, _texts(docs, id, text, pairs, nodes), k, p, q).where("linked").select("a", "b"), "found")
+    return pairs, written(_linked(pairs, _texts(docs, id, text, pairs.select(F.col("a").alias("node")).union(pairs.select("b")), nodes), k, p, q).where("linked").select("a", "b"), "found")
 
 
 def _named(lists: DataFrame, labels: DataFrame) -> DataFrame:
@@ -291,13 +312,13 @@ def _pruned(lists: DataFrame, nodes: DataFrame, p: int, q: int) -> DataFrame:
 
 
 def _labelled(docs: DataFrame, k: int, p: int, q: int, id: str, text: str) -> DataFrame:
-    """id, hash, n, label (of the component) of every row."""
+    """id, hash, n, label (of the component), low (its smallest id that is not null) of every row."""
     profiled = written(profiles(docs, id, text, k, p, q), "profiles")
     rows = written(profiled.select("id", "hash", "n", "digest"), "rows")
     some = profiled.where("n > 0")
     # a node is the smallest row number of a digest; the first row of a digest in a task lists keys
-    nodes = some.groupBy("digest").agg(F.min(F.struct("row", "n", "n0", "n1", "bits")).alias("first"), F.min(F.struct("id", "hash")).alias("at"))
-    nodes = written(nodes.select("digest", F.col("first.row").alias("node"), "first.n", "first.n0", "first.n1", "first.bits", "at"), "nodes")
+    nodes = some.groupBy("digest").agg(F.min(F.struct("row", "n", "n0", "n1", "bits")).alias("first"), F.min(F.struct("id", "hash")).alias("at"), F.min("id").alias("low"))
+    nodes = written(nodes.select("digest", "low", F.col("first.row").alias("node"), "first.n", "first.n0", "first.n1", "first.bits", "at"), "nodes")
     repeats = written(some.where(F.size("keys") > 0).select("row", "digest").join(nodes.select("digest", "node"), "digest").where("row <> node").select("row"), "repeats")
     keyed = some.where(F.size("keys") > 0).select("row", "n0", "n1", "keys").join(F.broadcast(repeats) if repeats.count() <= BROADCAST_IDS else repeats, "row", "left_anti")
     level = F.when(F.col("pos") < F.col("n0"), 0).when(F.col("pos") < F.col("n0") + F.col("n1"), 1).otherwise(2).cast("byte")
@@ -319,6 +340,7 @@ def _labelled(docs: DataFrame, k: int, p: int, q: int, id: str, text: str) -> Da
     # all nodes of each list; from round to round only lists that still have nodes of different components
     lists = members.select("key", "node").union(members.select("key", "centre")).distinct()
     used: list[DataFrame] = []
+    many = True
     for turn in range(STARS):
         lists = _named(lists, labels)
         used.append(lists)
@@ -332,6 +354,7 @@ def _labelled(docs: DataFrame, k: int, p: int, q: int, id: str, text: str) -> Da
         open_ = written(each.where("labels > 1").select("key", ((F.col("nodes") * F.col("nodes") - F.col("same")) / 2).cast("long").alias("pairs"), (4 * F.col("nodes")).alias("many"), F.col("c.node").alias("centre"), F.col("c.label").alias("top")), "open")
         left, few = open_.agg(F.coalesce(F.sum("pairs"), F.lit(0)), F.coalesce(F.sum("many"), F.lit(0))).first()
         if left <= few:
+            many = False
             break
         stars = written(lists.join(open_.select("key", "centre", "top"), "key"), "stars")
         dropped(*used, open_)
@@ -345,7 +368,11 @@ def _labelled(docs: DataFrame, k: int, p: int, q: int, id: str, text: str) -> Da
         links = written(links.union(found), "links")
         labels = components(links)
 
-    # what is left: pairs of nodes of different components on one list
+    # what is left: pairs of nodes of different components on one list. If these are many, the lists are those of shared
+    # passages, and single shingles tell
+    if many and not lists.isEmpty():
+        lists = _refined(_texts(docs, id, text, lists.select("node"), nodes), nodes, k, p, q)
+        used.append(lists)
     rest = _named(lists.select("key", "node"), labels).join(nodes.select("node", "n", "bits"), "node")
     one, two = (rest.select("key", *(F.col(x).alias(f"{x}_{c}") for x in ("node", "label", "n", "bits"))) for c in "ab")
     more = one.join(two, (one.key == two.key) & (F.col("label_a") != F.col("label_b")) & (F.col("node_a") < F.col("node_b")) & _may_link(p, q))
@@ -354,8 +381,11 @@ def _labelled(docs: DataFrame, k: int, p: int, q: int, id: str, text: str) -> Da
     if not found.isEmpty():
         labels = components(links.union(found))
     dropped(members, *used)
-    named = nodes.select("digest", "node").join(labels, "node", "left").select("digest", F.coalesce("label", "node").alias("label"))
-    return rows.select("id", "hash", "n", "digest").join(named, "digest", "left").select("id", "hash", "n", "label")
+    # components' smallest ids come from nodes, so that rows are joined once, and by digest
+    named = written(nodes.join(labels, "node", "left").select("digest", "low", F.coalesce("label", "node").alias("label")), "named")
+    lowest = written(named.groupBy("label").agg(F.min("low").alias("low")), "lowest")
+    named = written(named.select("digest", "label").join(F.broadcast(lowest) if lowest.count() <= BROADCAST_IDS else lowest, "label"), "components")
+    return rows.select("id", "hash", "n", "digest").join(named, "digest", "left").select("id", "hash", "n", "label", "low")
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -110,12 +110,19 @@ def test_a_passage_of_all_documents_makes_no_list_of_all(spark):
     got = {r.id: r.component for r in ngram_join.jaccard_components(docs).collect()}
     want = {i: i for i in range(3000)} | {3000 + j: 10 * j for j in range(30)}
     assert got == want
-    profiles = ngram_join.profiles(docs, "doc_id", "text", 5, 4, 5).persist()
-    nodes = profiles.select(F.col("row").alias("node"), "n", "n0", "n1")
-    listed = profiles.select(F.col("row").alias("node"), "n0", F.posexplode("keys").alias("pos", "key")).withColumn("level", F.when(F.col("pos") < F.col("n0"), 0).otherwise(1))
-    sizes = listed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    shared = listed.join(sizes, "key").select("key", "node", "level", "size")
-    assert sizes.agg(F.max("size")).first()[0] >= 500  # the ranges with nothing but the passage
-    left = ngram_join._pruned(shared, nodes, 4, 5).groupBy("key").count().agg(F.max("count")).first()[0]
-    assert left <= 3
-    profiles.unpersist()
+    # single shingles of all of them: only near copies are left on lists
+    profiles = ngram_join.profiles(docs, "doc_id", "text", 5, 4, 5)
+    texts = docs.select(F.col("doc_id").alias("node"), "text")
+    nodes = profiles.select(F.col("id").alias("node"), "n")
+    left = ngram_join._refined(texts, nodes, 5, 4, 5)
+    assert left.groupBy("key").count().agg(F.max("count")).first()[0] == 2
+    assert {r.node for r in left.select("node").distinct().collect()} == {i for i in range(0, 300, 10)} | set(range(3000, 3030))
+
+
+@pytest.mark.parametrize(("seed", "k", "p", "q"), [(4, 3, 9, 10), (5, 5, 4, 5)])
+def test_refined_lists_lose_no_link(spark, seed, k, p, q, monkeypatch):
+    """With no further round of stars, all that isn't linked to a list's centre goes through single shingles."""
+    monkeypatch.setattr(ngram_join, "STARS", 0)
+    rows = near_copies(seed)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, ngram_join.jaccard_components(docs, k, p, q).collect()), key=str) == brute_force(rows, k, p, q)
