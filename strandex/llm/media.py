@@ -14,12 +14,13 @@ within rounding of the least error is counted again bit by bit. Equal integers a
 it differs in a quarter of its bits. The work is queries times classes.
 
 Null audio and audio shorter than one filter have an empty fingerprint, which matches nothing. Null and repeated ids
-are recordings like others (a class is named by its smallest id). An empty table gives no rows.
+are recordings like others: a class is named by its smallest id that is not null, so that one whose ids are all null has
+no name; it is searched, and a match with it shows as an offset and an error without a name. An empty table gives no
+rows; columns other than id and audio are not read, whatever their names; long recordings are read whole, one at a time.
 """
 
 from __future__ import annotations
 
-import hashlib
 import math
 from collections import defaultdict
 
@@ -289,7 +290,3 @@ def op1_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
     best = matched(wanted, classes.where(F.size("prints") > 0))
     found = members.drop("prints").join(best, (F.col("class") == F.col("query")) & (F.col("id") % 50 == 0), "left")
     return found.select(F.col("id").alias("vec_id"), "n_samples", "n_prints", "fingerprint_sha256", F.col("class").alias("class_id"), F.col("match").alias("match_class"), "offset", "bit_error")
-
-
-def known_hash(prints) -> str:
-    return hashlib.sha256(",".join(map(str, prints)).encode()).hexdigest()
