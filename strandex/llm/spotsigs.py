@@ -8,8 +8,12 @@ signatures; one without words, but not empty, its whole text; an empty or null t
 
 Likeness is the Jaccard similarity of two fingerprints' sets, 1 for two empty ones. Likeness of t or more needs
 lengths within a factor 1 / t, so that sets are partitioned by length and compared with their own and the next
-partition alone, there only where they share one of their first signatures, and Jaccard is computed only if the
+partition alone, there only where they share one of their rarest signatures, and Jaccard is computed only if the
 lengths still allow it (near_links).
+
+Null texts are empty; ids may be null or repeated (rows of one id follow each other in the order of a hash of the
+text); an empty table gives no rows; columns other than id and text are not read, whatever their names; very long texts
+are read whole.
 """
 
 from __future__ import annotations
@@ -17,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import dropped, table, written
 from .sharding import bucket as _bucket
 from .sharding import sampled_splitters
 
@@ -72,20 +76,36 @@ def likeness(a: str, b: str, at_least: float = 0.0) -> Column:
 
 
 def near_links(docs: DataFrame, at_least: float = 0.8, id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Membership (id, fingerprint: the smallest id with it) and the links (a, b, likeness) between different ones."""
-    own = written(with_signatures(docs.select(F.col(id).alias("id"), F.col(text).alias("text")), "text", "sigs").select("id", "sigs"), "signatures")
-    groups = own.groupBy("sigs").agg(F.min("id").alias("fingerprint"))
-    groups = written(groups, "fingerprints")
+    """Membership (id, fingerprint: a name of the set, the same for equal ones) of each row, and the links (a, b,
+    likeness) between different fingerprints, a being the one with fewer signatures.
+
+    Ids may be null or repeated: fingerprints are named by their own hash. Sets of one length class and the next meet
+    where both have a signature among their rarest n - ceil(at_least n) + 1; signatures that one set alone has are
+    rarest and meet nothing, so that common signatures of otherwise different texts make no pairs. Empty fingerprints
+    have no links; an empty table gives no rows; other columns are not read."""
+    own = written(with_signatures(docs.select(F.col(id).alias("id"), F.col(text).alias("text")), "text", "sigs").select("id", "sigs", F.sha2(as_text("sigs"), 256).alias("fingerprint")), "signatures")
     n = F.size("sigs")
-    # partitions of lengths: [1/t^k, 1/t^(k+1)); a set meets those of its own partition and of the next
+    # classes of lengths: [1/t^k, 1/t^(k+1)); a set meets those of its own class and of the next
     length_class = F.floor(F.log(n.cast("double")) / F.log(F.lit(1 / at_least)) + 1e-9)
-    first = groups.where(n > 0).withColumn("length_class", length_class).withColumn("key", F.explode(F.slice("sigs", 1, n - F.ceil(at_least * n - 1e-9).cast("int") + 1)))
-    one = first.select(F.col("fingerprint").alias("a"), F.col("sigs").alias("sigs_a"), "key", F.explode(F.array("length_class", F.col("length_class") + 1)).alias("length_class"))
-    two = first.select(F.col("fingerprint").alias("b"), F.col("sigs").alias("sigs_b"), "key", "length_class")
-    fits = (F.size("sigs_a") <= F.size("sigs_b")) & (F.size("sigs_a") >= at_least * F.size("sigs_b")) & ((F.size("sigs_a") < F.size("sigs_b")) | (F.col("a") < F.col("b")))
-    pairs = one.join(two, ["key", "length_class"]).where(fits).groupBy("a", "b").agg(F.first("sigs_a").alias("sigs_a"), F.first("sigs_b").alias("sigs_b"))
+    groups = written(own.where(n > 0).groupBy("fingerprint").agg(F.first("sigs").alias("sigs")).withColumn("n", n).withColumn("length_class", length_class), "fingerprints")
+    every = written(groups.select("fingerprint", "n", "length_class", F.explode("sigs").alias("key")), "keys")
+    sizes = written(every.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
+    mine = Window.partitionBy("fingerprint")
+    shared = every.join(sizes, "key").withColumn("left", n_prefix("n", at_least) - (F.col("n") - F.count("*").over(mine))).withColumn("rank", F.row_number().over(mine.orderBy("size", "key")))
+    lists = written(shared.where(F.col("rank") <= F.col("left")).select("fingerprint", "n", "length_class", "key"), "lists")
+    dropped(every, sizes)
+    one = lists.select(F.col("fingerprint").alias("a"), F.col("n").alias("n_a"), "key", F.explode(F.array("length_class", F.col("length_class") + 1)).alias("length_class"))
+    two = lists.select(F.col("fingerprint").alias("b"), F.col("n").alias("n_b"), "key", "length_class")
+    fits = (F.col("n_a") >= at_least * F.col("n_b")) & ((F.col("n_a") < F.col("n_b")) | (F.col("n_a") == F.col("n_b")) & (F.col("a") < F.col("b")))
+    pairs = one.join(two, ["key", "length_class"]).where(fits).select("a", "b").distinct()
+    for c in "ab":
+        pairs = pairs.join(groups.select(F.col("fingerprint").alias(c), F.col("sigs").alias(f"sigs_{c}")), c)
     links = pairs.select("a", "b", likeness("sigs_a", "sigs_b", at_least).alias("likeness")).where(F.col("likeness") >= at_least - 1e-12)
-    return own.join(groups, "sigs").select("id", "fingerprint"), links
+    return own.select("id", "fingerprint"), links
+
+
+def n_prefix(n: str, at_least: float) -> Column:
+    return F.col(n) - F.ceil(at_least * F.col(n) - 1e-9) + 1
 
 
 def fingerprints(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -83,9 +83,29 @@ def test_near_links_as_by_brute_force(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     member, links = spotsigs.near_links(docs, 0.7)
     sets = {i: frozenset(signatures(t)) for i, t in rows}
-    low = {}
-    for i in sorted(sets):
-        low.setdefault(sets[i], i)
-    assert {r.id: r.fingerprint for r in member.collect()} == {i: low[s] for i, s in sets.items()}
-    want = {tuple(sorted((low[a], low[b]))) for a in low for b in low if a != b and a and b and jaccard(a, b) >= 0.7}
-    assert {tuple(sorted((r.a, r.b))) for r in links.collect()} == want
+    name = {r.id: r.fingerprint for r in member.collect()}
+    for a in sets:
+        for b in sets:
+            assert (name[a] == name[b]) == (sets[a] == sets[b])
+    of = {name[i]: x for i, x in sets.items()}
+    want = {tuple(sorted((a, b))) for a in of for b in of if a != b and of[a] and of[b] and jaccard(of[a], of[b]) >= 0.7}
+    got = links.collect()
+    assert {tuple(sorted((r.a, r.b))) for r in got} == want and len(got) == len(want) > 5
+
+
+def test_near_links_of_odd_rows(spark):
+    a, b = "the quick fox and the lazy dog of a very old house", "the slow cow and the busy bee of a very new barn"
+    rows = [(1, a, "x"), (1, b, "x"), (None, a, "x"), (None, a + " and one more thing", "x"), (2, None, "x"), (3, "", "x")]
+    member, links = spotsigs.near_links(spark.createDataFrame(rows, "doc_id long, text string, sigs string"), 0.5)
+    assert member.count() == 6 and len({r.fingerprint for r in member.where("id is null or id = 1").collect()}) == 3
+    (link,) = links.collect()
+    assert 0.5 <= link.likeness < 1
+    empty = spotsigs.near_links(spark.createDataFrame([], "doc_id long, text string"))
+    assert [x.count() for x in empty] == [0, 0]
+
+
+def test_a_signature_of_all_texts_makes_no_pairs(spark):
+    rng = random.Random(6)
+    rows = [(i, "the shared opening words. " + " ".join(f"the w{rng.randrange(10_000)} v{rng.randrange(10_000)}" for _ in range(20))) for i in range(1500)]
+    _, links = spotsigs.near_links(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert links.count() == 0
