@@ -22,9 +22,9 @@ Copies share a digest of the whole set and are one node from the start. On every
 centre; each other node is compared with it (a linear number of pairs), and links form components. Where pairs of
 nodes of different components are left on lists, and more of them than a few for each node, further rounds name other
 centres: first nodes that are on most lists (edits take a copy off some of its original's), then others by chance.
-Where many are left all the same, the lists are those of a passage that unlinked documents share; their nodes are
-listed anew by single shingles, again only the rarest that linked sets can't all differ in. All pairs of different
-components that are left on a list then are compared as well, so that components are exact.
+Lists with more than REFINED pairs a node left after that are those of a passage that unlinked documents share; their
+nodes are listed anew by single shingles, again only the rarest that linked sets can't all differ in. All pairs of
+different components that are left on a list then are compared as well, so that components are exact.
 Before texts are read again to compare a pair, its sizes and a folded form of its sets (a bound on how many shingles
 differ) must allow a link; for unrelated documents that share a passage they don't.
 
@@ -57,6 +57,8 @@ BROADCAST_IDS = 1_000_000
 BITS = 1024
 #: Further rounds of stars at most.
 STARS = 6
+#: Pairs of different components for each node from which a list is made anew by single shingles.
+REFINED = 64
 #: Digests of sets whose keys a task has written already and need not write again, at most.
 REMEMBERED = 1 << 20
 
@@ -340,7 +342,7 @@ def _labelled(docs: DataFrame, k: int, p: int, q: int, id: str, text: str) -> Da
     # all nodes of each list; from round to round only lists that still have nodes of different components
     lists = members.select("key", "node").union(members.select("key", "centre")).distinct()
     used: list[DataFrame] = []
-    many = True
+    hot = None
     for turn in range(STARS):
         lists = _named(lists, labels)
         used.append(lists)
@@ -351,28 +353,29 @@ def _labelled(docs: DataFrame, k: int, p: int, q: int, id: str, text: str) -> Da
             ranked = lists.withColumn("rank", F.xxhash64(F.lit(turn), "node"))
         each = ranked.groupBy("key", "label").agg(F.count("*").alias("n"), F.min(F.struct("rank", "node", "label")).alias("c"))
         each = each.groupBy("key").agg(F.sum("n").alias("nodes"), F.sum(F.col("n") * F.col("n")).alias("same"), F.count("*").alias("labels"), F.min("c").alias("c"))
-        open_ = written(each.where("labels > 1").select("key", ((F.col("nodes") * F.col("nodes") - F.col("same")) / 2).cast("long").alias("pairs"), (4 * F.col("nodes")).alias("many"), F.col("c.node").alias("centre"), F.col("c.label").alias("top")), "open")
+        open_ = written(each.where("labels > 1").select("key", ((F.col("nodes") * F.col("nodes") - F.col("same")) / 2).cast("long").alias("pairs"), (4 * F.col("nodes")).alias("many"), F.col("c.node").alias("centre"), F.col("c.label").alias("top"), (F.col("nodes") * F.col("nodes") - F.col("same") > 2 * REFINED * F.col("nodes")).alias("hot")), "open")
         left, few = open_.agg(F.coalesce(F.sum("pairs"), F.lit(0)), F.coalesce(F.sum("many"), F.lit(0))).first()
         if left <= few:
-            many = False
+            hot = None
             break
-        stars = written(lists.join(open_.select("key", "centre", "top"), "key"), "stars")
+        stars = written(lists.join(open_.select("key", "centre", "top", "hot"), "key"), "stars")
         dropped(*used, open_)
         used = [stars]
         star = stars.where("label <> top").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"))
         done, found = _compared(docs, id, text, star.join(pairs, ["a", "b"], "left_anti"), nodes, k, p, q)
         pairs = pairs.union(done)
-        lists = stars.select("key", "node")
+        lists, hot = stars.select("key", "node"), stars.where("hot").select("node")
         if found.isEmpty():
             break
         links = written(links.union(found), "links")
         labels = components(links)
 
-    # what is left: pairs of nodes of different components on one list. If these are many, the lists are those of shared
-    # passages, and single shingles tell
-    if many and not lists.isEmpty():
-        lists = _refined(_texts(docs, id, text, lists.select("node"), nodes), nodes, k, p, q)
-        used.append(lists)
+    # what is left: pairs of nodes of different components on one list. Lists with many of these are those of shared
+    # passages: there, single shingles tell
+    if hot is not None and not hot.isEmpty():
+        fine = _refined(_texts(docs, id, text, hot, nodes), nodes, k, p, q)
+        used.append(fine)
+        lists = stars.where("not hot").select("key", "node").union(fine)
     rest = _named(lists.select("key", "node"), labels).join(nodes.select("node", "n", "bits"), "node")
     one, two = (rest.select("key", *(F.col(x).alias(f"{x}_{c}") for x in ("node", "label", "n", "bits"))) for c in "ab")
     more = one.join(two, (one.key == two.key) & (F.col("label_a") != F.col("label_b")) & (F.col("node_a") < F.col("node_b")) & _may_link(p, q))

@@ -121,8 +121,9 @@ def test_a_passage_of_all_documents_makes_no_list_of_all(spark):
 
 @pytest.mark.parametrize(("seed", "k", "p", "q"), [(4, 3, 9, 10), (5, 5, 4, 5)])
 def test_refined_lists_lose_no_link(spark, seed, k, p, q, monkeypatch):
-    """With no further round of stars, all that isn't linked to a list's centre goes through single shingles."""
-    monkeypatch.setattr(ngram_join, "STARS", 0)
+    """With one further round of stars, all that isn't linked to a centre by then goes through single shingles."""
+    monkeypatch.setattr(ngram_join, "STARS", 1)
+    monkeypatch.setattr(ngram_join, "REFINED", 0)
     rows = near_copies(seed)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(map(tuple, ngram_join.jaccard_components(docs, k, p, q).collect()), key=str) == brute_force(rows, k, p, q)
