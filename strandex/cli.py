@@ -5,6 +5,9 @@ from __future__ import annotations
 import argparse
 import os
 import sys
+import time
+
+from .functions.report import duration, human, rate, share
 
 
 def _positive(text: str) -> int:
@@ -41,14 +44,6 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
-def human(n: int) -> str:
-    """Bytes in binary units, one decimal from KiB on."""
-    value, unit = float(n), 0
-    while value >= 1024 and unit < 4:
-        value, unit = value / 1024, unit + 1
-    return f"{n} B" if not unit else f"{value:.1f} {('KiB', 'MiB', 'GiB', 'TiB')[unit - 1]}"
-
-
 def _spark(args):
     from pyspark.sql import SparkSession
 
@@ -65,10 +60,12 @@ def _index(args) -> None:
         raise ValueError("--fai and --gzi go together")
     if not args.fasta and not args.fai:
         raise ValueError("nothing to index")
-    spark = _spark(args)
+    spark, began = _spark(args), time.monotonic()
     out = build.build_index_from_fai(spark, args.fai, args.gzi, args.output, args.fasta) if args.fai else build.build_index(spark, args.fasta, args.output)
     r = out.first()
-    print(f"{r.record_count:,} records in {r.block_count:,} blocks, {human(r.file_size)}, ratio {r.ratio:.3f}", file=sys.stderr)
+    took = time.monotonic() - began
+    stored = f"{human(r.file_size)} of {human(r.raw_block_bytes)} ({share(r.file_size, r.raw_block_bytes):.1f} %, ratio {r.ratio:.3f})"
+    print(f"{r.record_count:,} records in {r.block_count:,} blocks, {stored}, {duration(took)}, {rate(r.record_count, took, 'records')}", file=sys.stderr)
 
 
 def _fetch(args) -> None:

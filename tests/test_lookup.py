@@ -167,6 +167,29 @@ def test_command_line(tmp_path):
         assert subprocess.run([*run, *wrong], capture_output=True, cwd=root, timeout=60).returncode == 1
 
 
+def test_numbers_as_shown():
+    from strandex.functions import report as R
+
+    assert [R.human(n) for n in (0, 512, 1023, 1024, 1536, 1 << 21, 5 << 40, 5000 << 40)] == ["0 B", "512 B", "1023 B", "1.0 KiB", "1.5 KiB", "2.0 MiB", "5.0 TiB", "5000.0 TiB"]
+    assert [R.duration(s) for s in (0, 59.9, 60, 3600, 3725)] == ["0s", "59s", "1m 0s", "1h 0m 0s", "1h 2m 5s"]
+    assert (R.share(1, 4), R.share(0, 0)) == (25.0, 100.0)
+    assert (R.rate(3_000_000, 2, "records"), R.rate(1 << 20, 1, "bytes")) == ("1,500,000 records/s", "1.0 MiB/s")
+    assert abs(R.smoothed([10, 20]) - 13) < 1e-9 and R.smoothed([]) == 0
+
+
+def test_index_command_and_id_file(tmp_path):
+    p, ids = tmp_path / "c.fa", tmp_path / "ids"
+    p.write_bytes(b">b two\nACGT\nAC\n>a\nTT\n")
+    ids.write_bytes(b"b\n\n >a \n")
+    run, root = [sys.executable, "-m", "strandex.cli"], os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    done = subprocess.run([*run, "index", "--fasta", str(p), "--no-progress", "--threads", "2"], capture_output=True, cwd=root, timeout=180)
+    assert done.returncode == 0 and b"2 records in " in done.stderr
+    done = subprocess.run([*run, "fetch", "--fasta", str(p), "--no-progress", "--threads", "2", "-f", str(ids)], capture_output=True, cwd=root, timeout=180)
+    assert done.returncode == 0 and done.stdout == b">b two\nACGTAC\n>a\nTT\n"
+    ids.write_bytes(b"\xff\n")
+    assert subprocess.run([*run, "fetch", "--fasta", str(p), "-f", str(ids)], capture_output=True, cwd=root, timeout=60).returncode == 1
+
+
 def test_queries_equal_their_sql(spark):
     from strandex.file_queries import FILE_QUERIES
     from strandex.queries import QUERIES
