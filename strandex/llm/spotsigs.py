@@ -9,7 +9,7 @@ signatures; one without words, but not empty, its whole text; an empty or null t
 Likeness is the Jaccard similarity of two fingerprints' sets, 1 for two empty ones. Likeness of t or more needs
 lengths within a factor 1 / t, so that sets are partitioned by length and compared with their own and the next
 partition alone, there only where they share one of their rarest signatures, and Jaccard is computed only if the
-lengths still allow it (near_links).
+lengths still allow it (near_groups).
 
 Null texts are empty; ids may be null or repeated (rows of one id follow each other in the order of a hash of the
 text); an empty table gives no rows; columns other than id and text are not read, whatever their names; very long texts
@@ -18,16 +18,25 @@ are read whole.
 
 from __future__ import annotations
 
+from math import log2
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import dropped, table, written
+from .components import components
 from .sharding import bucket as _bucket
 from .sharding import sampled_splitters
 
 CHAIN, AHEAD = 2, 3
 #: Bytes of documents that stand next to each other in one partition of the window, about; partitions at most.
 NEIGHBOURS, BUCKETS = 8 << 20, 1 << 18
+#: Bits by which signatures are counted for their order.
+FREQUENCY_BITS = 18
+#: Rounds of stars at most, before what is left is compared pair by pair; nodes of a chunk of a list then, about.
+STARS, CHUNK = 5, 1000
+#: Pairs whose nodes are broadcast, and groups that are, at most; above, joins are shuffled ones.
+BROADCAST_PAIRS = BROADCAST_GROUPS = 1_000_000
 #: Common words of English, German, French and Spanish.
 ANCHORS = """
 a about after all also an and any are as at be because been but by can could do for from had has have he her his how
@@ -75,43 +84,119 @@ def likeness(a: str, b: str, at_least: float = 0.0) -> Column:
     return F.when(long_ == 0, 1.0).when((short == 0) | (short < at_least * long_), 0.0).otherwise(shared / (short + long_ - shared))
 
 
-def near_links(docs: DataFrame, at_least: float = 0.8, id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Membership (id, fingerprint: a name of the set, the same for equal ones) of each row, and the links (a, b,
-    likeness) between different fingerprints, a being the one with fewer signatures.
-
-    Ids may be null or repeated: fingerprints are named by their own hash. Sets of one length class and the next meet
-    where both have a signature among their rarest n - ceil(at_least n) + 1; signatures that one set alone has are
-    rarest and meet nothing, so that common signatures of otherwise different texts make no pairs. Empty fingerprints
-    have no links; an empty table gives no rows; other columns are not read."""
-    own = written(with_signatures(docs.select(F.col(id).alias("id"), F.col(text).alias("text")), "text", "sigs").select("id", "sigs", F.sha2(as_text("sigs"), 256).alias("fingerprint")), "signatures")
-    n = F.size("sigs")
+def _prefix_lists(nodes: DataFrame, at_least: float) -> DataFrame:
+    """key, class, node, n: the lists of more than one node on which near ones meet.
+
+    Signatures are ordered by how often the 2^FREQUENCY_BITS classes of their low bits occur, rarest first, then by
+    value: one order for all, told by a constant of a byte for each class. A node is on the lists of its first
+    n - ceil(at_least n) + 1 signatures, in its own class of lengths and as a guest in the next."""
+    classes = 1 << FREQUENCY_BITS
+    low = F.col("sig").bitwiseAND(classes - 1)
+    often = bytearray(classes)
+    for row in nodes.select(F.explode("sigs").alias("sig")).groupBy(low.alias("at")).agg(F.count("*").alias("n")).toLocalIterator():
+        often[row.at] = min(255, int(4 * log2(1 + row.n)))
+    table_ = F.lit(bytes(often))
+    ranked = F.sort_array(F.transform("sigs", lambda x: F.struct(F.substring(table_, x.bitwiseAND(classes - 1) + 1, F.lit(1)).alias("often"), x.alias("sig"))))
+    first = F.slice(ranked, F.lit(1), n_prefix("n", at_least).cast("int"))
+    # one shuffle serves the lists' sizes and their members
+    listed = nodes.select("node", "n", F.explode(first).alias("at")).select("node", "n", F.col("at.sig").alias("key")).repartition("key")
+    shared = listed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("key")
     # classes of lengths: [1/t^k, 1/t^(k+1)); a set meets those of its own class and of the next
-    length_class = F.floor(F.log(n.cast("double")) / F.log(F.lit(1 / at_least)) + 1e-9)
-    groups = written(own.where(n > 0).groupBy("fingerprint").agg(F.first("sigs").alias("sigs")).withColumn("n", n).withColumn("length_class", length_class), "fingerprints")
-    every = written(groups.select("fingerprint", "n", "length_class", F.explode("sigs").alias("key")), "keys")
-    sizes = written(every.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
-    mine = Window.partitionBy("fingerprint")
-    shared = every.join(sizes, "key").withColumn("left", n_prefix("n", at_least) - (F.col("n") - F.count("*").over(mine))).withColumn("rank", F.row_number().over(mine.orderBy("size", "key")))
-    lists = written(shared.where(F.col("rank") <= F.col("left")).select("fingerprint", "n", "length_class", "key"), "lists")
-    dropped(every, sizes)
-    one = lists.select(F.col("fingerprint").alias("a"), F.col("n").alias("n_a"), "key", F.explode(F.array("length_class", F.col("length_class") + 1)).alias("length_class"))
-    two = lists.select(F.col("fingerprint").alias("b"), F.col("n").alias("n_b"), "key", "length_class")
-    fits = (F.col("n_a") >= at_least * F.col("n_b")) & ((F.col("n_a") < F.col("n_b")) | (F.col("n_a") == F.col("n_b")) & (F.col("a") < F.col("b")))
-    pairs = one.join(two, ["key", "length_class"]).where(fits).select("a", "b").distinct()
+    of = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1 / at_least)) + 1e-9).cast("int")
+    return listed.join(shared, "key").select("key", F.explode(F.array(of, of + 1)).alias("class"), "node", "n")
+
+
+def _linked(pairs: DataFrame, nodes: DataFrame, at_least: float) -> DataFrame:
+    """The pairs (a, b) of likeness at_least or more."""
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    some = nodes.select("node", "sigs").join(F.broadcast(wanted) if pairs.count() <= BROADCAST_PAIRS else wanted, "node")
+    both = pairs
     for c in "ab":
-        pairs = pairs.join(groups.select(F.col("fingerprint").alias(c), F.col("sigs").alias(f"sigs_{c}")), c)
-    links = pairs.select("a", "b", likeness("sigs_a", "sigs_b", at_least).alias("likeness")).where(F.col("likeness") >= at_least - 1e-12)
-    return own.select("id", "fingerprint"), links
+        both = both.join(some.select(F.col("node").alias(c), F.col("sigs").alias(f"sigs_{c}")), c)
+    return both.where(likeness("sigs_a", "sigs_b", at_least) >= at_least - 1e-12).select("a", "b")
+
+
+def near_groups(docs: DataFrame, at_least: float = 0.8, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """node, group: for each fingerprint (node: its hash) that has several rows or a near one, the smallest id of all
+    rows that links of likeness at_least or more connect with it. All other rows are groups of their own.
+
+    Links are found on the lists of each partition of lengths, of rarest signatures first, by pruned Jaccard. On each
+    list one node is the centre that others are compared with; links make components, and from round to round only
+    nodes of different components are compared, so that a large group costs no more than its rows. Pairs of different
+    components that are left at last are all compared, long lists in pairs of chunks that spread over tasks.
+
+    Ids may be null or repeated; the smallest id is of those that aren't null. Empty fingerprints have no links and no
+    group; an empty table gives no rows; other columns are not read. Nodes are 64-bit hashes of fingerprints."""
+    own = with_signatures(docs.select(F.col(id).alias("id"), F.col(text).alias("text")), "text", "sigs")
+    own = own.select("id", node_of("sigs").alias("node"), F.transform("sigs", lambda x: (x - (1 << 31)).cast("int")).alias("sigs"))
+    nodes = own.groupBy("node").agg(F.first("sigs").alias("sigs"), F.min("id").alias("low"), F.count("*").alias("times")).where(F.size("sigs") > 0)
+    nodes = written(nodes.withColumn("n", F.size("sigs")), "nodes")
+    lists = written(_prefix_lists(nodes, at_least), "lists")
+    labels, links, done = None, None, None
+    turn = 0
+    while not lists.isEmpty():
+        named = lists.withColumn("label", F.col("node"))
+        if labels is not None:
+            named = lists.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        named = written(named, "named")
+        centre = F.min(F.struct(F.xxhash64(F.lit(turn), "node").alias("rank"), F.col("node"), F.col("n"), F.col("label"))).alias("c")
+        each = named.groupBy("key", "class", "label").agg(F.count("*").alias("m"), centre)
+        each = each.groupBy("key", "class").agg(F.sum("m").alias("nodes"), F.sum(F.col("m") * F.col("m")).alias("same"), F.count("*").alias("labels"), F.min("c").alias("c"))
+        open_ = written(each.where("labels > 1"), "open")
+        dropped(lists)
+        lists = written(named.join(open_.select("key", "class", "nodes", "c"), ["key", "class"]), "lists")
+        dropped(named)
+        if lists.isEmpty():
+            break
+        left, few = open_.agg(F.sum((F.col("nodes") * F.col("nodes") - F.col("same")) / 2), F.sum(4 * F.col("nodes"))).first()
+        last = left <= few or turn == STARS
+        if last:
+            parts = F.ceil(F.col("nodes") / CHUNK).cast("int")
+            spread = lists.withColumn("chunk", F.pmod(F.xxhash64("node"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+            spread = spread.withColumn("low", F.least("chunk", "other")).withColumn("high", F.greatest("chunk", "other"))
+            one, two = (spread.select("key", "class", "low", "high", *(F.col(x).alias(f"{x}_{c}") for x in ("node", "n", "label"))) for c in "ab")
+            pairs = one.join(two, ["key", "class", "low", "high"]).where("node_a < node_b and label_a <> label_b")
+        else:
+            pairs = lists.where("label <> c.label").select(F.col("node").alias("node_a"), F.col("n").alias("n_a"), F.col("c.node").alias("node_b"), F.col("c.n").alias("n_b"))
+        fits = F.least("n_a", "n_b") >= at_least * F.greatest("n_a", "n_b") - 1e-9
+        pairs = pairs.where(fits).select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
+        if done is not None:
+            pairs = pairs.join(done, ["a", "b"], "left_anti")
+        pairs = written(pairs, "pairs")
+        found = written(_linked(pairs, nodes, at_least), "links")
+        done = pairs if done is None else done.union(pairs)
+        if not found.isEmpty():
+            links = found if links is None else links.union(found)
+            labels = components(links)
+        if last:
+            break
+        lists = lists.drop("label", "nodes", "c")
+        # where a round finds nothing, the next one compares what is left
+        turn = STARS if found.isEmpty() else turn + 1
+    nodes = nodes.select("node", "low", "times")
+    if labels is None:
+        return nodes.where("times > 1").select("node", F.col("low").alias("group"))
+    nodes = nodes.join(labels, "node", "left").where("times > 1 or label is not null").withColumn("label", F.coalesce("label", "node"))
+    named = written(nodes.select("node", "label", "low"), "grouped")
+    return named.select("node", "label").join(named.groupBy("label").agg(F.min("low").alias("group")), "label").select("node", "group")
+
+
+def node_of(signatures: str) -> Column:
+    return F.xxhash64(F.array_join(signatures, " "))
 
 
 def n_prefix(n: str, at_least: float) -> Column:
     return F.col(n) - F.ceil(at_least * F.col(n) - 1e-9) + 1
 
 
-def fingerprints(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+def fingerprints(docs: DataFrame, id: str = "doc_id", text: str = "text", at_least: float = 0.8) -> DataFrame:
     """doc_id, n_chars, fingerprint of each row, and of its text edited: the last quarter of its code points replaced
     by the first as many of the next row's (by id, then text; null ids first; the first row after the last), with the
-    likeness of both to the row's own. Repeated rows follow each other. An empty table gives no rows."""
+    likeness of both to the row's own. Repeated rows follow each other. An empty table gives no rows.
+
+    group_id is the smallest id of all rows that links of at_least (default 0.8) or more connect with the row, its own
+    if there are none or its fingerprint is empty."""
+    groups = written(near_groups(docs, at_least, id, text), "groups")
     rows = docs.select(F.col(id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     size = F.octet_length("text") + 64
     total, nulls, low = rows.agg(F.coalesce(F.sum(size), F.lit(0)), F.count_if(F.col("doc_id").isNull()), F.min("doc_id")).first()
@@ -138,9 +223,12 @@ def fingerprints(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Dat
     quarter = F.floor(n / 4).cast("int")
     rows = rows.withColumn("n_chars", n.cast("long")).withColumn("edited", F.concat(F.expr("left(text, n_chars - cast(floor(n_chars / 4) as int))"), F.left(F.col("next_text"), quarter)))
     rows = with_signatures(rows, "edited", "edited_sigs")
+    rows = rows.withColumn("node", node_of("sigs"))
+    rows = rows.join(F.broadcast(groups) if groups.count() <= BROADCAST_GROUPS else groups, "node", "left")
     return rows.select(
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), as_text("sigs").alias("fingerprint"), as_text("edited_sigs").alias("edited_fingerprint"),
         likeness("sigs", "edited_sigs").alias("near_edited"), likeness("sigs", "next_sigs").alias("near_next"), F.size("sigs").alias("n_signatures"),
+        F.coalesce("group", "doc_id").alias("group_id"),
     )
 
 

@@ -73,39 +73,51 @@ def test_one_row_repeated_rows_and_none(spark):
     assert spotsigs.fingerprints(docs.limit(0)).count() == 0
 
 
-def test_near_links_as_by_brute_force(spark):
+def brute_groups(rows, at_least):
+    """id of each row's group by comparing all pairs."""
+    sets = [signatures(t) for _, t in rows]
+    group = list(range(len(rows)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a and b and jaccard(a, b) >= at_least and group[i] != group[j]:
+                old, new = group[i], group[j]
+                group = [new if g == old else g for g in group]
+    return sorted((i, len(t or ""), min((rows[k][0] for k in range(len(rows)) if group[k] == g and rows[k][0] is not None), default=None)) for (i, t), g in zip(rows, group, strict=True))
+
+
+def groups(spark, rows, at_least):
+    docs = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, node string, group int")
+    return sorted((r.doc_id, r.n_chars, r.group_id) for r in spotsigs.fingerprints(docs, at_least=at_least).collect())
+
+
+@pytest.mark.parametrize("stars,chunk,changed", [(5, 1000, 0.01), (0, 3, 0.01), (1, 2, 0.05), (5, 1000, 0.05)])
+def test_groups_as_by_brute_force(spark, monkeypatch, stars, chunk, changed):
+    monkeypatch.setattr(spotsigs, "STARS", stars)
+    monkeypatch.setattr(spotsigs, "CHUNK", chunk)
     rng = random.Random(4)
     rows = []
-    for _, t in texts(40, 9):
+    for _, t in texts(30, 9):
         w = t.split()
-        for _ in range(3):
-            rows.append((len(rows), " ".join(x if rng.random() > 0.01 else "changed" for x in w)))
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    member, links = spotsigs.near_links(docs, 0.7)
-    sets = {i: frozenset(signatures(t)) for i, t in rows}
-    name = {r.id: r.fingerprint for r in member.collect()}
-    for a in sets:
-        for b in sets:
-            assert (name[a] == name[b]) == (sets[a] == sets[b])
-    of = {name[i]: x for i, x in sets.items()}
-    want = {tuple(sorted((a, b))) for a in of for b in of if a != b and of[a] and of[b] and jaccard(of[a], of[b]) >= 0.7}
-    got = links.collect()
-    assert {tuple(sorted((r.a, r.b))) for r in got} == want and len(got) == len(want) > 5
-
-
-def test_near_links_of_odd_rows(spark):
+        for _ in range(6):
+            rows.append((len(rows), " ".join(x if rng.random() > changed else f"changed{rng.randrange(9)}" for x in w)))
+    rng.shuffle(rows)
+    want = brute_groups(rows, 0.7)
+    assert groups(spark, rows, 0.7) == want
+    assert 30 < len({g for _, _, g in want}) < 180
+
+
+def test_groups_of_odd_rows(spark):
     a, b = "the quick fox and the lazy dog of a very old house", "the slow cow and the busy bee of a very new barn"
-    rows = [(1, a, "x"), (1, b, "x"), (None, a, "x"), (None, a + " and one more thing", "x"), (2, None, "x"), (3, "", "x")]
-    member, links = spotsigs.near_links(spark.createDataFrame(rows, "doc_id long, text string, sigs string"), 0.5)
-    assert member.count() == 6 and len({r.fingerprint for r in member.where("id is null or id = 1").collect()}) == 3
-    (link,) = links.collect()
-    assert 0.5 <= link.likeness < 1
-    empty = spotsigs.near_links(spark.createDataFrame([], "doc_id long, text string"))
-    assert [x.count() for x in empty] == [0, 0]
+    docs = [(1, a), (1, b), (None, a), (None, a + " and one more thing"), (2, None), (3, ""), (4, b), (None, "alone in the world")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    got = [(r.doc_id, r.n_chars, r.group_id) for r in spotsigs.fingerprints(frame, at_least=0.5).collect()]
+    want = [(1, len(a), 1), (1, len(b), 1), (None, len(a), 1), (None, len(a) + 19, 1), (2, 0, 2), (3, 0, 3), (4, len(b), 1), (None, 18, None)]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert spotsigs.near_groups(frame.limit(0)).count() == 0
+    assert spotsigs.near_groups(frame.where("doc_id = 2")).count() == 0
 
 
-def test_a_signature_of_all_texts_makes_no_pairs(spark):
+def test_a_passage_of_all_texts_makes_no_group(spark):
     rng = random.Random(6)
     rows = [(i, "the shared opening words. " + " ".join(f"the w{rng.randrange(10_000)} v{rng.randrange(10_000)}" for _ in range(20))) for i in range(1500)]
-    _, links = spotsigs.near_links(spark.createDataFrame(rows, "doc_id long, text string"))
-    assert links.count() == 0
+    assert spotsigs.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).count() == 0
