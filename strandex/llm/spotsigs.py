@@ -85,7 +85,7 @@ def likeness(a: str, b: str, at_least: float = 0.0) -> Column:
 
 
 def _prefix_lists(nodes: DataFrame, at_least: float) -> DataFrame:
-    """key, class, node, n: the lists of more than one node on which near ones meet.
+    """key, class, node, n, pos (of the key in the node's order): the lists of more than one node on which near ones meet.
 
     Signatures are ordered by how often the 2^FREQUENCY_BITS classes of their low bits occur, rarest first, then by
     value: one order for all, told by a constant of a byte for each class. A node is on the lists of its first
@@ -98,12 +98,13 @@ def _prefix_lists(nodes: DataFrame, at_least: float) -> DataFrame:
     table_ = F.lit(bytes(often))
     ranked = F.sort_array(F.transform("sigs", lambda x: F.struct(F.substring(table_, x.bitwiseAND(classes - 1) + 1, F.lit(1)).alias("often"), x.alias("sig"))))
     first = F.slice(ranked, F.lit(1), n_prefix("n", at_least).cast("int"))
-    # one shuffle serves the lists' sizes and their members
-    listed = nodes.select("node", "n", F.explode(first).alias("at")).select("node", "n", F.col("at.sig").alias("key")).repartition("key")
-    shared = listed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("key")
+    # a window, as a count joined with its own rows is two shuffles: the count's has fewer columns
+    listed = nodes.select("node", "n", F.posexplode(first).alias("pos", "at")).select("node", "n", "pos", F.col("at.sig").alias("key"))
+    one_list = Window.partitionBy("key")
+    shared = listed.withColumn("low", F.min("node").over(one_list)).withColumn("high", F.max("node").over(one_list)).where("low <> high")
     # classes of lengths: [1/t^k, 1/t^(k+1)); a set meets those of its own class and of the next
     of = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1 / at_least)) + 1e-9).cast("int")
-    return listed.join(shared, "key").select("key", F.explode(F.array(of, of + 1)).alias("class"), "node", "n")
+    return shared.select("key", F.explode(F.array(of, of + 1)).alias("class"), "node", "n", "pos")
 
 
 def _linked(pairs: DataFrame, nodes: DataFrame, at_least: float) -> DataFrame:
@@ -120,7 +121,8 @@ def near_groups(docs: DataFrame, at_least: float = 0.8, id: str = "doc_id", text
     """node, group: for each fingerprint (node: its hash) that has several rows or a near one, the smallest id of all
     rows that links of likeness at_least or more connect with it. All other rows are groups of their own.
 
-    Links are found on the lists of each partition of lengths, of rarest signatures first, by pruned Jaccard. On each
+    Links are found on the lists of each partition of lengths, of rarest signatures first, by pruned Jaccard; a pair is
+    compared only where its lengths, and what stands behind its places on the list, allow a link. On each
     list one node is the centre that others are compared with; links make components, and from round to round only
     nodes of different components are compared, so that a large group costs no more than its rows. Pairs of different
     components that are left at last are all compared, long lists in pairs of chunks that spread over tasks.
@@ -139,7 +141,7 @@ def near_groups(docs: DataFrame, at_least: float = 0.8, id: str = "doc_id", text
         if labels is not None:
             named = lists.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         named = written(named, "named")
-        centre = F.min(F.struct(F.xxhash64(F.lit(turn), "node").alias("rank"), F.col("node"), F.col("n"), F.col("label"))).alias("c")
+        centre = F.min(F.struct(F.xxhash64(F.lit(turn), "node").alias("rank"), F.col("node"), F.col("n"), F.col("pos"), F.col("label"))).alias("c")
         each = named.groupBy("key", "class", "label").agg(F.count("*").alias("m"), centre)
         each = each.groupBy("key", "class").agg(F.sum("m").alias("nodes"), F.sum(F.col("m") * F.col("m")).alias("same"), F.count("*").alias("labels"), F.min("c").alias("c"))
         open_ = written(each.where("labels > 1"), "open")
@@ -154,11 +156,13 @@ def near_groups(docs: DataFrame, at_least: float = 0.8, id: str = "doc_id", text
             parts = F.ceil(F.col("nodes") / CHUNK).cast("int")
             spread = lists.withColumn("chunk", F.pmod(F.xxhash64("node"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
             spread = spread.withColumn("low", F.least("chunk", "other")).withColumn("high", F.greatest("chunk", "other"))
-            one, two = (spread.select("key", "class", "low", "high", *(F.col(x).alias(f"{x}_{c}") for x in ("node", "n", "label"))) for c in "ab")
+            one, two = (spread.select("key", "class", "low", "high", *(F.col(x).alias(f"{x}_{c}") for x in ("node", "n", "pos", "label"))) for c in "ab")
             pairs = one.join(two, ["key", "class", "low", "high"]).where("node_a < node_b and label_a <> label_b")
         else:
-            pairs = lists.where("label <> c.label").select(F.col("node").alias("node_a"), F.col("n").alias("n_a"), F.col("c.node").alias("node_b"), F.col("c.n").alias("n_b"))
+            pairs = lists.where("label <> c.label").select(F.col("node").alias("node_a"), F.col("n").alias("n_a"), F.col("pos").alias("pos_a"), F.col("c.node").alias("node_b"), F.col("c.n").alias("n_b"), F.col("c.pos").alias("pos_b"))
         fits = F.least("n_a", "n_b") >= at_least * F.greatest("n_a", "n_b") - 1e-9
+        # on the first list that two share, all that they share stands from their places in it on
+        fits &= F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b")) >= at_least / (1 + at_least) * (F.col("n_a") + F.col("n_b")) - 1e-9
         pairs = pairs.where(fits).select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
         if done is not None:
             pairs = pairs.join(done, ["a", "b"], "left_anti")

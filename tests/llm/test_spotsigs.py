@@ -121,3 +121,27 @@ def test_a_passage_of_all_texts_makes_no_group(spark):
     rng = random.Random(6)
     rows = [(i, "the shared opening words. " + " ".join(f"the w{rng.randrange(10_000)} v{rng.randrange(10_000)}" for _ in range(20))) for i in range(1500)]
     assert spotsigs.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).count() == 0
+
+
+def test_lists_go_through_one_shuffle_and_late_places_make_no_pairs(spark, monkeypatch):
+    """Texts that share the last signatures of their prefixes alone are never compared; near copies among them are linked."""
+    plans, pairs = {}, []
+
+    def written(df, label):
+        plans.setdefault(label, df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0])
+        out = kept(df, label)
+        if label == "pairs":
+            pairs.append(out.count())
+        return out
+
+    kept = spotsigs.written
+    monkeypatch.setattr(spotsigs, "written", written)
+    rng = random.Random(8)
+    shared = [f"the s{i} t{i}" for i in range(85)]
+    rows = [(i, " ".join([f"the u{rng.randrange(10**6)} v{rng.randrange(10**6)}" for _ in range(15)] + shared)) for i in range(30)]
+    rows += [(30 + i, rows[i][1] + " the end comes") for i in range(3)]
+    got = spotsigs.near_groups(spark.createDataFrame(rows, "doc_id long, text string"), 0.8)
+    want = [g for _, _, g in brute_groups(rows, 0.8)]
+    assert sorted(r.group for r in got.collect()) == sorted(g for g in want if want.count(g) > 1)
+    assert plans["lists"].count("Exchange hashpartitioning(key") == 1
+    assert sum(pairs) < 30 * 29 // 2
