@@ -14,8 +14,10 @@ def _trimmed(c: Column) -> Column:
 
 
 def normalize_query(c: Column) -> Column:
-    """Trimmed by Unicode White_Space, one leading '>' dropped, trimmed again; the inside stays."""
-    return _trimmed(F.regexp_replace(_trimmed(c), r"\A>", ""))
+    """Trimmed by Unicode White_Space, one leading '>' dropped, trimmed again; the inside stays. Patterns pass over the
+    whole text only where its first or last character asks for it."""
+    outer = F.concat(F.substring(c, 1, 1), F.substring(c, -1, 1))
+    return F.when(outer.rlike(r"[>\p{IsWhite_Space}]"), _trimmed(F.regexp_replace(_trimmed(c), r"\A>", ""))).otherwise(c)
 
 
 def primary_id(c: Column) -> Column:

@@ -26,19 +26,47 @@ def prepared(queries: DataFrame) -> DataFrame:
     return q.withColumn("query_id", primary_id(F.col("query"))).withColumn("has_desc", has_description(F.col("query")))
 
 
-def _side(q: DataFrame) -> DataFrame:
-    n, size = q.select(F.octet_length("query").alias("size")).limit(BROADCAST_QUERIES + 1).agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
-    return F.broadcast(q) if n <= BROADCAST_QUERIES and size <= BROADCAST_BYTES else q
+def _side(q: DataFrame, size: tuple[int, int] | None = None) -> DataFrame:
+    """q, broadcast if it is small; size: its queries and their bytes, where they are known."""
+    n, bytes_ = size or q.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("query")), F.lit(0))).first()
+    return F.broadcast(q) if n <= BROADCAST_QUERIES and bytes_ <= BROADCAST_BYTES else q
+
+
+def _asked(catalog: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataFrame, set[bool]]:
+    """The catalog, with the IDs of few queries as a filter; prepared queries; and whether some have descriptions (True)
+    and some have none (False). One pass over the queries, two for few IDs."""
+    q = prepared(queries)
+    size = F.coalesce(F.sum(F.octet_length("query")), F.lit(0))
+    n, bytes_, ids, *kinds = q.agg(F.count("*"), size, F.approx_count_distinct("query_id"), F.min("has_desc"), F.max("has_desc")).first()
+    if ids <= 2 * LITERAL_IDS:
+        few = q.select("query_id").distinct().limit(LITERAL_IDS + 1).collect()
+        if len(few) <= LITERAL_IDS:
+            catalog = catalog.where(F.col("full_id").isin([r.query_id for r in few]))
+    return catalog, _side(q, (n, bytes_)), set(kinds)
+
+
+def offer(kinds: set[bool]) -> Column:
+    """What a record offers to queries: its header to those with a description, its ID to the others. A query meets the
+    records that it is equal to, never all those of its ID."""
+    if len(kinds) < 2:
+        return F.col("header" if True in kinds else "full_id")
+    return F.explode(F.array_distinct(F.array("header", "full_id")))
 
 
 def exact(catalog: DataFrame, queries: DataFrame) -> DataFrame:
     """q_ord and the records whose ID is the query's; a query with a description must be the whole header."""
-    q = prepared(queries)
-    few = q.select("query_id").distinct().limit(LITERAL_IDS + 1).collect()
-    if len(few) <= LITERAL_IDS:
-        catalog = catalog.where(F.col("full_id").isin([r.query_id for r in few]))
-    hit = catalog.join(_side(q), F.col("full_id") == F.col("query_id")).where(~F.col("has_desc") | (F.col("header") == F.col("query")))
-    return hit.select("q_ord", *catalog.columns)
+    catalog, q, kinds = _asked(catalog, queries)
+    hit = catalog.withColumn("offer_", offer(kinds)).join(q, F.col("offer_") == F.col("query"))
+    return hit.where(F.col("full_id") == F.col("query_id")).select("q_ord", *catalog.columns)
+
+
+def exact_counts(catalog: DataFrame, queries: DataFrame) -> DataFrame:
+    """q_ord and how many records exact() has for it, if any. Records are counted before they meet queries, so that
+    many queries of one header that many records share make no pairs."""
+    catalog, q, kinds = _asked(catalog, queries)
+    offered = catalog.select(F.col("full_id").alias("id_"), offer(kinds).alias("offer_")).groupBy("id_", "offer_").agg(F.count("*").alias("records_"))
+    hit = offered.join(q, (F.col("offer_") == F.col("query")) & (F.col("id_") == F.col("query_id")))
+    return hit.groupBy("q_ord").agg(F.sum("records_").alias("matches"))
 
 
 def prefix(catalog: DataFrame, queries: DataFrame) -> DataFrame:

@@ -57,7 +57,7 @@ def _regex(pattern: str, invert: bool = False):
 def full_header(spark: SparkSession, d: str) -> DataFrame:
     """Every header as a query: each is matched whole."""
     q = catalog(spark, d).select(F.col("input_ordinal").alias("q_ord"), F.col("header").alias("query"))
-    return K.exact(catalog(spark, d), q).groupBy("q_ord").agg(F.count("*").alias("matches"))
+    return K.exact_counts(catalog(spark, d), q)
 
 
 def unique_ids(spark: SparkSession, d: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Queries, patterns, order, missing, and the queries' SQL."""
 
 import os
+import re
 import subprocess
 import sys
 
@@ -101,6 +102,48 @@ def test_pushdown_and_no_nested_loops(spark, tmp_path, index):
     assert offsets(stored.prefix(many)) == [20, 50, 60]
 
 
+def _largest_join(df) -> int:
+    """Rows that a join of df's plan made at most."""
+    df.collect()
+    plan, most = [df._jdf.queryExecution().executedPlan()], 0
+    while plan:
+        p = plan.pop()
+        if p.nodeName() == "AdaptiveSparkPlan":
+            p = p.executedPlan()
+        if "QueryStage" in p.nodeName():
+            p = p.plan()
+        if "Join" in p.nodeName():
+            most = max(most, p.metrics().apply("numOutputRows").value())
+        plan += [p.children().apply(i) for i in range(p.children().size())]
+    return most
+
+
+def test_queries_with_descriptions_meet_equal_headers_only(spark):
+    catalog = spark.range(3000).select(F.lit("x").alias("full_id"), F.concat(F.lit("x "), (F.col("id") % 1000).cast("string")).alias("header"))
+    queries = catalog.select(F.monotonically_increasing_id().alias("q_ord"), F.col("header").alias("query"))
+    for df in (K.exact(catalog, queries), K.exact_counts(catalog, queries)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        keys = re.findall(r"Join \[.*?\], \[(.*?)\], Inner", plan)
+        assert len(keys) == 1 and re.search(r"\bquery#", keys[0])  # equal by the whole query, not by its ID alone
+    assert K.exact(catalog, queries).count() == 9000
+    counts = K.exact_counts(catalog, queries)
+    assert _largest_join(counts) == 3000  # not 9,000 pairs, nor 9,000,000 of one ID
+    assert {r.matches for r in counts.collect()} == {3}
+
+
+def test_counts_are_those_of_lookups(spark, index):
+    asked = ["duplicate", "duplicate second description", "duplicate", "a", "z x", "no", " >a ", "duplicate first description"]
+    for queries in (asked, asked[1::6], ["duplicate"], [], [f"x{i}" for i in range(30)] + asked):
+        got = {r.q_ord: r.matches for r in K.exact_counts(index.frame, K.query_list(spark, queries)).collect()}
+        want = {}
+        for i, q in enumerate(queries):
+            n = sum(h == q.strip(" >") or i_ == q.strip(" >") for i_, h, _ in ROWS)
+            want |= {i: n} if n else {}
+        assert got == want
+        pairs = index.exact(queries).groupBy("q_ord").count().collect() if queries else []
+        assert {r.q_ord: r["count"] for r in pairs} == want
+
+
 def test_sql_functions(spark, index):
     index.register("my_index")
     got = spark.sql("SELECT virtual_offset FROM seq_lookup(' >duplicate second description\n')").collect()
