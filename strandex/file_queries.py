@@ -5,17 +5,20 @@ from __future__ import annotations
 import struct
 import uuid
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import fetch, lookup
+from .operators.ordered import running
 from .plans import build as B
 from .queries import DOCUMENTS, documents
 from .session import SeqIndex
 from .sources import files
 from .sources.bgzf import walk
-from .storage import filesystem, shared_dir
+from .sources.fasta import SPLIT
+from .storage import each, filesystem, shared_dir
 
 
 def _folder(spark: SparkSession) -> str:
@@ -25,18 +28,16 @@ def _folder(spark: SparkSession) -> str:
     return path
 
 
-def _written(spark: SparkSession, d: str, blocked: bool, parts: int | None = None) -> str:
-    """A folder of FASTA files of the documents' sequences in order of doc_id. Documents without letters have no
-    sequence, which FASTA doesn't allow, so they are no records."""
-    rows = documents(spark, d).where(F.length("sequence") > 0).select(F.concat("full_id", F.lit(" document")).alias("header"), F.col("sequence").cast("binary").alias("sequence"), F.col("input_ordinal").alias("out_pos"))
-    path = f"{_folder(spark)}/documents"
-    fetch.write_fasta_parts(rows, path, parts=parts, compression="bgzf" if blocked else "none")
-    return path
+def _rows(spark: SparkSession, d: str) -> DataFrame:
+    """The documents' sequences, to be written in order of doc_id. Documents without letters have no sequence, which
+    FASTA doesn't allow, so they are no records."""
+    return documents(spark, d).where(F.length("sequence") > 0).select(F.concat("full_id", F.lit(" document")).alias("header"), F.col("sequence").cast("binary").alias("sequence"), F.col("input_ordinal").alias("out_pos"))
 
 
 def roundtrip(blocked: bool):
     def run(spark: SparkSession, d: str) -> DataFrame:
-        path = _written(spark, d, blocked)
+        path = f"{_folder(spark)}/documents"
+        fetch.write_fasta_parts(_rows(spark, d), path, compression="bgzf" if blocked else "none")
         B.write_index(B.read_fasta(spark, path, split_bytes=1 << 22), f"{path}.seqidx")
         found = SeqIndex.open(spark, f"{path}.seqidx").fetch(None, pattern="", by_offset=True)
         return found.select("full_id", "header", "sequence_length", "line_bases", F.col("sequence").cast("string").alias("sequence"))
@@ -44,22 +45,30 @@ def roundtrip(blocked: bool):
     return run
 
 
+def write_gzi(spark: SparkSession, fasta: str, out: str) -> None:
+    """The GZI file of one blocked file. Tasks walk the blocks of a range of stored bytes each, and places come from
+    running sums; one task writes the entries, 16 bytes for a block."""
+
+    def blocks(span):
+        found = np.array([(address, size) for address, _, size in walk(fasta, *span)], np.int64).reshape(-1, 2)
+        yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["address", "size"])
+
+    def entries(batches):
+        pairs = [np.column_stack([c.to_numpy() for c in batch.columns]).astype("<u8") for batch in batches]
+        with files.create(out) as f:
+            f.write(struct.pack("<Q", sum(map(len, pairs))) + b"".join(p.tobytes() for p in pairs))
+        yield pa.RecordBatch.from_arrays([pa.array([sum(map(len, pairs))], pa.int64())], ["n"])
+
+    size = files.length(fasta)
+    found = each(spark, [(low, low + SPLIT) for low in range(0, size, SPLIT)], blocks, "address long, size long")
+    places = running(found, ["address"], "size", "place").where("address > 0").select("address", "place")
+    places.repartition(1).sortWithinPartitions("address").mapInArrow(entries, "n long").collect()
+
+
 def write_fai(spark: SparkSession, fasta: str, out: str) -> None:
-    """FAI and GZI files of one blocked file, at out.fai (a folder) and out.gzi. The GZI is written by a task, the FAI
-    by Spark, in order: offsets of blocks come from a floor lookup of their addresses."""
-
-    def blocks(batches):
-        for batch in batches:
-            for path in batch.column(0).to_pylist():
-                at, entries = 0, []
-                for address, _, size in walk(path):
-                    entries.append((address, at))
-                    at += size
-                with files.create(out + ".gzi") as f:
-                    f.write(struct.pack("<Q", len(entries[1:])) + b"".join(struct.pack("<QQ", *e) for e in entries[1:]))
-                yield pa.RecordBatch.from_arrays([pa.array([len(entries)], pa.int64())], ["n"])
-
-    spark.createDataFrame([(fasta,)], "path string").mapInArrow(blocks, "n long").collect()
+    """FAI and GZI files of one blocked file, at out.fai (a folder) and out.gzi. The FAI is written by Spark, in order:
+    offsets of blocks come from a floor lookup of their addresses."""
+    write_gzi(spark, fasta, out + ".gzi")
     address = F.shiftrightunsigned("virtual_offset", 16)
     rows = B.read_fasta(spark, fasta).withColumn("address", address)
     rows = B.floor_lookup(rows, "address", B.read_gzi(spark, out + ".gzi"), "compressed", "uncompressed")
@@ -71,7 +80,8 @@ def write_fai(spark: SparkSession, fasta: str, out: str) -> None:
 def fai_build(spark: SparkSession, d: str) -> DataFrame:
     """An index from FAI and GZI files of one blocked file (a FAI describes one), looked up by prefix, sequences read at
     its offsets."""
-    (path,) = files.listed(_written(spark, d, True, 1))
+    path = f"{_folder(spark)}/documents.fa.gz"
+    fetch.write_fasta_file(_rows(spark, d), path, compression="bgzf")
     out = f"{_folder(spark)}/documents"
     write_fai(spark, path, out)
     B.write_index(B.fai_records(spark, out + ".fai", out + ".gzi", path), f"{out}.seqidx")

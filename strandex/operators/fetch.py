@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from ..functions.text import wrapped
 from ..sources import files
-from ..sources.bgzf import open_file
-from ..sources.fasta import WRAP, FastaSource, record_bytes
+from ..sources.bgzf import EOF_BLOCK, READ, open_file
+from ..sources.fasta import SPLIT, WRAP, FastaSource, record_bytes
+from ..storage import each
 
 #: Stored bytes of a file, as a power of two, whose rows are read by one task: of offsets in plain and in blocked files.
 PLAIN_BITS, BLOCKED_BITS = 24, 22 + 16
@@ -37,10 +38,12 @@ def read_sequence(chunks: Iterator[bytes], length: int, bases: int, width: int)
 
 
 def ranged(rows: DataFrame) -> DataFrame:
-    """rows dealt to tasks by file and range of stored bytes, in order of offsets."""
+    """rows dealt to tasks by file and range of stored bytes, in order of offsets. The number of tasks is fixed: rows are
+    small and what is read for them isn't, so Spark would merge them into one or two tasks that read all sequences."""
     bits = F.when(F.col("file_format") == "bgzf", BLOCKED_BITS).otherwise(PLAIN_BITS)
     place = F.floor(F.col("virtual_offset") / F.pow(F.lit(2.0), bits))
-    return rows.repartition("source_file", place).sortWithinPartitions("source_file", "virtual_offset")
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, "source_file", place).sortWithinPartitions("source_file", "virtual_offset")
 
 
 def sequences(rows: DataFrame) -> DataFrame:
@@ -94,6 +97,62 @@ def write_fasta_parts(rows: DataFrame, path: str, order: str = "out_pos", parts:
     dealt.select("header", "sequence").write.format("fasta").option("compression", compression).mode(mode).save(path)
 
 
+def joined(spark: SparkSession, paths: list[str], out: str, tail: bytes = b"") -> None:
+    """The files one behind the other as a new one, their `tail` (which each ends with) only once. A task copies up to
+    SPLIT bytes to their place; where files can't be written at any place, one task copies all, READ bytes at a time."""
+    spans, at, temporary = [], 0, f"{out}.part"
+    for path in paths:
+        size = files.length(path) - len(tail)
+        spans += [(path, low, min(low + SPLIT, size), at + low) for low in range(0, size, SPLIT)]
+        at += size
+
+    def chunks(span):
+        path, low, high, _ = span
+        with files.opened(path) as source:
+            source.seek(low)
+            while low < high:
+                data = source.read(min(READ, high - low))
+                if not data:
+                    raise OSError(f"{path} ends before {high}")
+                yield data
+                low += len(data)
+
+    def copied(span):
+        with files.placed(temporary) as target:
+            target.seek(span[3])
+            for data in chunks(span):
+                target.write(data)
+        yield pa.RecordBatch.from_arrays([pa.array([span[2] - span[1]], pa.int64())], ["n"])
+
+    def streamed(spans):
+        with files.create(temporary) as target:
+            for span in spans:
+                for data in chunks(span):
+                    target.write(data)
+            target.write(tail)
+        yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64())], ["n"])
+
+    files.remove(temporary)
+    target = files.placed(temporary)
+    if target is not None:
+        with target:
+            target.seek(at)
+            target.write(tail)
+    n = sum(r.n for r in (each(spark, [spans], streamed, "n long") if target is None else each(spark, spans, copied, "n long")).collect())
+    if n != at or files.length(temporary) != at + len(tail):
+        raise OSError(f"{out} should have {at + len(tail)} bytes")
+    files.move(temporary, out)
+
+
+def write_fasta_file(rows: DataFrame, path: str, order: str = "out_pos", compression: str = "none") -> None:
+    """rows (header, sequence and an order column) as one file: tasks write parts in order, and copy them to their
+    places in it."""
+    parts = f"{path}.parts"
+    write_fasta_parts(rows, parts, order, compression=compression)
+    joined(rows.sparkSession, files.listed(parts) if files.exists(parts) else [], path, EOF_BLOCK if compression == "bgzf" else b"")
+    files.remove(parts)
+
+
 def write_fasta(rows: DataFrame, path: str, order: str = "out_pos") -> int:
     """rows (header, sequence and an order column) to one file; a row at a time passes through the driver."""
     n, temporary = 0, f"{path}.part"

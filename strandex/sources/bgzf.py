@@ -65,14 +65,18 @@ def inflate(data: bytes | memoryview, address: int) -> bytes:
     return out
 
 
-def walk(path: str) -> Iterator[tuple[int, int, int]]:
-    """address, compressed size, uncompressed size of every block, from headers and trailers alone."""
+def walk(path: str, low: int = 0, high: int | None = None) -> Iterator[tuple[int, int, int]]:
+    """address, compressed size, uncompressed size of every block that begins in the stored bytes low to high, from
+    headers and trailers alone."""
     with opened(path) as f:
         f.seek(0, 2)
-        end, address = f.tell(), 0
-        while address < end:
+        end = f.tell()
+        address = first_block(f, low, end)
+        while address < (end if high is None else min(high, end)):
             f.seek(address)
-            size = size_in(f.read(LARGEST + 12), 0, address, end - address)
+            head = f.read(12)
+            head += f.read(struct.unpack_from("<H", head, 10)[0] if len(head) == 12 else 0)
+            size = size_in(head, 0, address, end - address)
             f.seek(address + size - 4)
             yield address, size, struct.unpack("<I", f.read(4))[0]
             address += size

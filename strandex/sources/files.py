@@ -59,6 +59,16 @@ def create(path: str) -> BinaryIO:
     return system.open_output_stream(at, compression=None)
 
 
+def placed(path: str) -> BinaryIO | None:
+    """A file to write at any place, several tasks at once, made if it isn't there; None on file systems that write
+    files only from their start (all but local and mounted ones)."""
+    system, at = _at(path)
+    if not isinstance(system, fs.LocalFileSystem):
+        return None
+    os.makedirs(os.path.dirname(at), exist_ok=True)
+    return os.fdopen(os.open(at, os.O_RDWR | os.O_CREAT, 0o666), "r+b")
+
+
 def move(source: str, target: str) -> None:
     system, at = _at(source)
     system.move(at, _at(target)[1])

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -51,3 +53,14 @@ def dropped(*frames: DataFrame) -> None:
             fs, where = filesystem(df.sparkSession, path)
             fs.delete(where, True)
             fs.cancelDeleteOnExit(where)
+
+
+def each(spark: SparkSession, items: list, work: Callable[..., Iterator[pa.RecordBatch]], ddl: str) -> DataFrame:
+    """The batches that work yields for each item, an item a task."""
+
+    def run(batches):
+        for batch in batches:
+            for i in batch.column(0).to_pylist():
+                yield from work(items[i])
+
+    return spark.range(0, len(items), 1, max(len(items), 1)).mapInArrow(run, ddl)

@@ -2,16 +2,20 @@
 
 import gzip
 import io
+import os
 import random
 import struct
 
 import pytest
+from pyspark.sql import functions as F
 
+from strandex import file_queries
 from strandex.operators import fetch
 from strandex.plans import build
 from strandex.session import SeqIndex
 from strandex.sources import bgzf as Z
 from strandex.sources import fasta as S
+from strandex.sources import files
 from strandex.sources.bgzf import EOF_BLOCK
 from strandex.sources.bgzf import block as bgzf_block
 from strandex.sources.indexes import read_fai, read_gzi
@@ -207,6 +211,50 @@ def test_fai_and_gzi(spark, tmp_path):
     assert rows == {("zeta", 0): 300 << 16 | 5, ("alpha", 1): 0, ("duplicate", 3): 100 << 16 | 10, ("duplicate", 4): 100 << 16}
 
 
+def test_one_blocked_file_is_written_and_walked_by_many_tasks(spark, tmp_path, monkeypatch):
+    rows = spark.range(0, 400, 1, 3).select(F.concat(F.lit("id"), F.col("id").cast("string")).alias("header"), F.expr("cast(repeat(substr('ACGTTGCA', 1 + id % 5), 900) as binary)").alias("sequence"), (400 - F.col("id")).alias("out_pos"))
+    for module in (fetch, file_queries):
+        monkeypatch.setattr(module, "SPLIT", 1500)
+    one, gzi = f"file://{tmp_path}/one.fa.gz", f"{tmp_path}/one.gzi"
+    sizes, spans, join, each = [], [], fetch.joined, fetch.each
+    monkeypatch.setattr(fetch, "joined", lambda s, paths, *a: (sizes.extend(map(files.length, paths)), join(s, paths, *a)))
+    monkeypatch.setattr(fetch, "each", lambda s, items, *a: (spans.extend(items), each(s, items, *a))[1])
+    fetch.write_fasta_file(rows, one, compression="bgzf")
+    assert len(sizes) > 1 and max(sizes) < 0.6 * sum(sizes)  # no task writes all rows
+    assert len(spans) > 4 and max(high - low for _, low, high, _ in spans) <= 1500  # or copies them
+    assert os.listdir(tmp_path) == ["one.fa.gz"]
+    stored = (tmp_path / "one.fa.gz").read_bytes()
+    assert gzip.decompress(stored) == b"".join(S.record_bytes(r.header, bytes(r.sequence)) for r in rows.orderBy("out_pos").collect())
+    assert stored.count(Z.EOF_BLOCK) == 1 and stored.endswith(Z.EOF_BLOCK)
+    file_queries.write_gzi(spark, one, gzi)
+    want, at = [], 0
+    for address, _, size in Z.walk(one):
+        want.append((address, at))
+        at += size
+    assert len(want) > 4 and [tuple(r) for r in read_gzi(spark, gzi).orderBy("compressed").collect()] == want[1:]
+    spans = [(low, low + 1500) for low in range(0, len(stored), 1500)]
+    assert [b for s in spans for b in Z.walk(one, *s)] == list(Z.walk(one))
+
+
+def test_small_rows_of_large_sequences_are_fetched_by_many_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(fetch, "PLAIN_BITS", 12)
+    (tmp_path / "x.fa").write_bytes(fasta(200, 5))
+    index = SeqIndex.open_or_build(spark, str(tmp_path / "x.fa"))
+    found = index.fetch(None, pattern="").select(F.spark_partition_id().alias("task"))
+    assert len({r.task for r in found.collect()}) > 1
+
+
+def test_one_file_of_no_rows_and_of_streams(spark, tmp_path, monkeypatch):
+    none = spark.createDataFrame([], "header string, sequence binary, out_pos long")
+    fetch.write_fasta_file(none, f"{tmp_path}/none.fa.gz", compression="bgzf")
+    assert (tmp_path / "none.fa.gz").read_bytes() == Z.EOF_BLOCK
+    rows = spark.range(50).select(F.col("id").cast("string").alias("header"), F.lit(b"ACGT").alias("sequence"), F.col("id").alias("out_pos"))
+    fetch.write_fasta_file(rows, f"{tmp_path}/a.fa")
+    monkeypatch.setattr(fetch.files, "placed", lambda path: None)
+    fetch.write_fasta_file(rows, f"{tmp_path}/b.fa")
+    assert (tmp_path / "a.fa").read_bytes() == (tmp_path / "b.fa").read_bytes() == b"".join(b">%d\nACGT\n" % i for i in range(50))
+
+
 @pytest.mark.parametrize("line", ["a\t1\t2\t3", "a\tx\t2\t3\t4", "a\t-1\t2\t3\t4", "a\t9223372036854775808\t2\t3\t4"])
 def test_bad_fai(spark, tmp_path, line):
     p = tmp_path / "bad.fai"
