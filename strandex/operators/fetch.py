@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,15 +18,19 @@ from ..storage import each
 #: Stored bytes of a file, as a power of two, whose rows are read by one task: of offsets in plain and in blocked files.
 PLAIN_BITS, BLOCKED_BITS = 24, 22 + 16
 #: Bytes of sequences in a batch at most (or one longer sequence).
-BATCH_BYTES = 1 << 24
+BATCH_BYTES = 1 << 22
 
 
-def read_sequence(chunks: Iterator[bytes], length: int, bases: int, width: int) -> bytes:
-    """`length` bases from lines of `bases` in `width` bytes."""
+def stored_bytes(length: int, bases: int, width: int) -> int:
+    """Bytes from the first base to the last one, of `length` bases in lines of `bases` in `width` bytes."""
     if bases <= 0 or width < bases:
         raise ValueError("line layout isn't valid")
-    gap = width - bases
-    need = length + gap * ((length - 1) // bases) if length else 0
+    return length + (width - bases) * ((length - 1) // bases) if length else 0
+
+
+def read_sequence(chunks: Iterator[bytes], length: int, bases: int, width: int) -> bytes:
+    """`length` bases from lines of `bases` in `width` bytes."""
+    need = stored_bytes(length, bases, width)
     got, parts = 0, []
     while got < need:
         data = next(chunks, None)
@@ -34,7 +39,12 @@ def read_sequence(chunks: Iterator[bytes], length: int, bases: int, width: int)
         parts.append(data[: need - got])
         got += len(parts[-1])
     raw = b"".join(parts)
-    return raw if not gap else b"".join(raw[i : i + bases] for i in range(0, len(raw), width))
+    if width == bases or length <= bases:
+        return raw
+    parts.clear()
+    whole = len(raw) // width  # the last line has no end
+    lines = np.frombuffer(raw, np.uint8, whole * width).reshape(whole, width)[:, :bases]
+    return b"".join([np.ascontiguousarray(lines).data, memoryview(raw)[whole * width :]])
 
 
 def ranged(rows: DataFrame) -> DataFrame:
@@ -59,20 +69,24 @@ def sequences(rows: DataFrame) -> DataFrame:
 
             def out(high: int) -> pa.RecordBatch:
                 part = batch.slice(low, high - low)  # noqa: B023
-                return pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.binary())], [*columns, "sequence"])  # noqa: B023
+                ends = np.cumsum([0, *map(len, found)], dtype=np.int32)  # noqa: B023
+                bodies = pa.py_buffer(b"".join(found))  # noqa: B023
+                found.clear()  # noqa: B023
+                return pa.RecordBatch.from_arrays([*part.columns, pa.BinaryArray.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer(ends), bodies])], [*columns, "sequence"])
 
             for i, (path, kind, offset, length, bases, width) in enumerate(zip(*(batch.column(i).to_pylist() for i in at.values()), strict=True)):
                 if found and held + length > BATCH_BYTES:
                     yield out(i)
-                    found, held, low = [], 0, i
+                    held, low = 0, i
                 if path not in opened:
                     for f in opened.values():
                         f.file.close()
                     opened = {path: open_file(path, kind)}
-                found.append(read_sequence(opened[path].read(offset), length, bases, width))
+                found.append(read_sequence(opened[path].read(offset, stored_bytes(length, bases, width)), length, bases, width))
                 held += length
             if found:
                 yield out(batch.num_rows)
+        pa.default_memory_pool().release_unused()
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
     return ranged(rows).mapInArrow(fetch, f"{kinds}, sequence binary")

@@ -126,8 +126,9 @@ class PlainFile:
     def starting(self, low: int) -> int:
         return low
 
-    def read(self, offset: int) -> Iterator[bytes]:
-        return (data for data, _, _ in self.chunks(offset, self.size))
+    def read(self, offset: int, most: int | None = None) -> Iterator[bytes]:
+        """Content from an offset on, `most` bytes at most: a short record doesn't cost a whole chunk."""
+        return (data for data, _, _ in self.chunks(offset, self.size if most is None else min(self.size, offset + most)))
 
 
 class BgzfFile:
@@ -170,8 +171,8 @@ class BgzfFile:
         if n:
             yield b"".join(parts), np.array(places, np.int64), np.array(offsets, np.int64)
 
-    def read(self, offset: int) -> Iterator[bytes]:
-        """Content from a virtual offset on, block by block."""
+    def read(self, offset: int, most: int | None = None) -> Iterator[bytes]:
+        """Content from a virtual offset on, block by block; at least `most` bytes if there are so many."""
         within = offset & 0xFFFF
         for address, data in self._blocks(offset >> 16, self.size, 4 * LARGEST):
             if within > len(data):

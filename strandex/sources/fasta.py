@@ -28,7 +28,9 @@ from . import bgzf, files
 
 SPLIT, WRAP = 64 << 20, 60
 #: Records, or bytes of headers and sequences, in a batch.
-BATCH_ROWS, BATCH_BYTES = 1 << 16, 1 << 24
+BATCH_ROWS, BATCH_BYTES = 1 << 16, 1 << 22
+#: Bytes of output that a writing task holds.
+PUT_BYTES = 1 << 20
 _ID = re.compile(rb"[^ \t\n\f\r]*")
 
 
@@ -323,14 +325,16 @@ class FastaWriter(DataSourceArrowWriter):
                 for h, s in zip(header, sequence, strict=True):
                     held += record_bytes(h.as_py() or "", s.as_py() or b"", self.wrap)
                     records += 1
-                    if len(held) >= bgzf.READ:
+                    if len(held) >= PUT_BYTES:
                         self._put(f, held, False)
+                batch = header = sequence = None  # they go before the next batch is read
             self._put(f, held, True)
+        pa.default_memory_pool().release_unused()
         return Written(temporary, records)
 
     def _put(self, f, held: bytearray, last: bool) -> None:
         if not self.blocked:
-            f.write(bytes(held))
+            f.write(held)
             held.clear()
             return
         size = 60_000

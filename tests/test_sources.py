@@ -5,6 +5,7 @@ import io
 import os
 import random
 import struct
+import tracemalloc
 
 import pytest
 from pyspark.sql import functions as F
@@ -244,6 +245,22 @@ def test_small_rows_of_large_sequences_are_fetched_by_many_tasks(spark, tmp_path
     assert len({r.task for r in found.collect()}) > 1
 
 
+@pytest.mark.parametrize("blocked", [False, True])
+def test_fetching_holds_little(tmp_path, blocked):
+    data = b">a\n" + b"ACGT" * 15 + b"\n" + b">b\n" + (b"ACGT" * 15 + b"\n") * 150_000 + b"ACG\n"
+    (tmp_path / "x.fa").write_bytes(bgzf(data) if blocked else data)
+    file = Z.open_file(str(tmp_path / "x.fa"))
+    assert fetch.stored_bytes(60, 60, 61) == 60 and fetch.stored_bytes(61, 60, 61) == 62 and fetch.stored_bytes(0, 60, 61) == 0
+    short = sum(map(len, file.read(3, 60)) if not blocked else [len(next(file.read(3, 60)))])
+    assert short == 60 if not blocked else short <= Z.LARGEST  # not a whole chunk for a short record
+    r = scanned(file)[1]
+    tracemalloc.start()
+    found = fetch.read_sequence(file.read(r[2], fetch.stored_bytes(*r[3:6])), *r[3:6])
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == r[6] and most < 3.5 * len(found)  # no object for each line
+
+
 def test_one_file_of_no_rows_and_of_streams(spark, tmp_path, monkeypatch):
     none = spark.createDataFrame([], "header string, sequence binary, out_pos long")
     fetch.write_fasta_file(none, f"{tmp_path}/none.fa.gz", compression="bgzf")
